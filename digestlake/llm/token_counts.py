@@ -170,10 +170,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text_col: str = "
     stored = spark.read.schema(schema).parquet(where)
     # a block whose documents are all empty has no items, but its documents still need their row
     items = stored.where("kind = 'items'").select("block", "bucket", "a")
-    counted = items.groupBy("bucket").applyInPandas(_count(path), "block long, bucket int, a binary")
+    # a block or bucket is few rows and much work: a count that is asked for is not merged into fewer tasks
+    tasks = 2 * buckets
+    counted = items.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_count(path), "block long, bucket int, a binary")
     blocks = stored.where("kind = 'docs'").select("block").distinct().select("block", F.lit(-1).alias("bucket"), F.lit(b"").alias("a"))
     answers = counted.unionByName(blocks)
-    summed = answers.groupBy("block").applyInPandas(_sum(where), "doc_id long, n_bytes long, n_tokens long")
+    summed = answers.repartition(tasks, "block").groupBy("block").applyInPandas(_sum(where), "doc_id long, n_bytes long, n_tokens long")
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
