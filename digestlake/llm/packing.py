@@ -11,6 +11,7 @@ common, is gathered in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,32 +25,91 @@ from digestlake.llm.common import prepared, written
 from digestlake.llm.token_counts import tokenizer, vocabulary
 
 TOKENIZER = "word_bpe_49k.json"
-#: Whitespace-free runs of which a worker remembers the ids; beyond that it forgets and starts anew.
-MEMO_ROWS = 600_000
+#: Runs of characters between white space of which a worker remembers the ids; beyond that it forgets and starts anew.
+MEMO_RUNS = 1_000_000
 #: Characters that str.split() takes as white space and the tokenizer does not.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_memo: dict[str, dict[str, bytes]] = {}
+_ODD = re.compile("[\x1c-\x1f]")
+#: Punctuation that ends a run. After a letter or digit it is a pre-token of its own.
+_STOPS = ".,!?;:"
+_JOIN = 400
+_memo: dict[str, tuple[dict[str, bytes], np.ndarray]] = {}
+
+
+def _learn(runs: list[str], t, known: dict[str, bytes], last: np.ndarray) -> None:
+    """Add the ids of runs to known. Words of letters alone are encoded many at a time and told apart by the tokens
+    that end a word; a join whose words do not come out one by one is encoded word by word."""
+    words = [c for c in runs if c.isalpha()]
+    single = [c for c in runs if not c.isalpha()]
+    joins = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
+    for own, e in zip(joins, t.encode_batch_fast([" ".join(j) for j in joins], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype="<u4")
+        ends = (np.nonzero(last[ids])[0] + 1) * 4
+        if len(ends) != len(own):
+            single += own
+            continue
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(own, ends.tolist()):
+            known[word] = raw[at:end]
+            at = end
+    for i in range(0, len(single), 20_000):
+        some = single[i : i + 20_000]
+        known.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False))))
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that is the tokenizer's own and changes nothing else, so that fewer runs differ."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them without added tokens.
 
     The pre-tokens of this vocabulary hold no white space, so a text's ids are those of its runs between white space;
-    each worker remembers the ids of runs. Texts with a control character on which Python and the tokenizer disagree
-    go to the tokenizer whole.
+    each worker remembers the ids of runs. A run that ends in punctuation after a letter or digit is made of two. Texts
+    with a control character on which Python and the tokenizer disagree go to the tokenizer whole.
     """
     t = tokenizer(path)
-    memo = _memo.setdefault(path, {})
-    if len(memo) > MEMO_ROWS:
-        memo.clear()
-    odd = [any(c in x for c in _ODD) for x in texts]
-    runs = [[] if o else x.split() for x, o in zip(texts, odd)]
-    new = list({r for own in runs for r in own if r not in memo})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        memo.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False))))
-    get = memo.__getitem__
-    return [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() if o else b"".join(map(get, own)) for x, o, own in zip(texts, odd, runs)]
+    if path not in _memo:
+        vocab = t.get_vocab()
+        last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        _memo[path] = ({}, last)
+    runs, last = _memo[path]
+    if len(runs) > MEMO_RUNS:
+        runs.clear()
+    split = [None if _ODD.search(x) else _lowered(x).split() for x in texts]
+    found = [None if own is None else list(map(runs.get, own)) for own in split]
+    learn: dict[str, None] = {}
+    ended: dict[str, str] = {}
+    for own, got in zip(split, found):
+        if own and None in got:
+            for r, g in zip(own, got):
+                if g is None and r not in ended and r not in learn:
+                    core = r.rstrip(_STOPS) if r[-1] in _STOPS else r
+                    if len(core) < len(r) and core and core[-1].isalnum():
+                        ended[r] = core
+                        if core not in runs:
+                            learn[core] = None
+                        if (stop := r[len(core) :]) not in runs:
+                            learn[stop] = None
+                    else:
+                        learn[r] = None
+    _learn(list(learn), t, runs, last)
+    for r, core in ended.items():
+        runs[r] = runs[core] + runs[r[len(core) :]]
+    out = []
+    for x, own, got in zip(texts, split, found):
+        if own is None:
+            out.append(np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        elif None in got:
+            out.append(b"".join([runs[r] if g is None else g for r, g in zip(own, got)]))
+        else:
+            out.append(b"".join(got))
+    return out
 
 
 def pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, text_col: str = "text") -> DataFrame:
