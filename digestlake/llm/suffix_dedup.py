@@ -450,21 +450,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", bl
         raise ValueError(f"length must be at least {GRAM + SHALLOW}")
     spark = prepared(docs)
     buckets = partitions(spark)
+    # a block or bucket is few rows and much work: a count that is asked for is not merged into fewer tasks
+    tasks = 2 * buckets
     where, places = scratch(spark, "suffix-blocks"), scratch(spark, "suffix-segments")
     stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     stored.mapInArrow(_store(block_bytes), "block long, doc_id long, text binary").write.option("compression", "zstd").partitionBy("block").parquet(where)
     ids = spark.read.schema("doc_id long, text binary, block long").parquet(where).select("block").distinct()
-    hashes = ids.groupBy("block").applyInPandas(_hashes(where, length, buckets), "bucket int, block long, hashes binary")
-    shared = hashes.groupBy("bucket").applyInPandas(_shared, "block long, hashes binary")
+    hashes = ids.repartition(tasks, "block").groupBy("block").applyInPandas(_hashes(where, length, buckets), "bucket int, block long, hashes binary")
+    shared = hashes.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_shared, "block long, hashes binary")
     schema = "kind string, block long, bucket int, a binary, b binary, c binary, d binary, data binary"
-    found = shared.groupBy("block").applyInPandas(_segments(where, length, buckets), schema)
+    found = shared.repartition(tasks, "block").groupBy("block").applyInPandas(_segments(where, length, buckets), schema)
     found.write.option("compression", "zstd").partitionBy("kind", "block").parquet(places)
     segments = spark.read.schema(schema).parquet(places).where("kind = 'segments'").drop("kind")
-    answers = segments.groupBy("bucket").applyInPandas(_sorted(length), "block long, a binary, b binary, c binary, d binary")
+    answers = segments.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_sorted(length), "block long, a binary, b binary, c binary, d binary")
     none = F.lit(b"")
     every = answers.unionByName(ids.select("block", *[none.alias(c) for c in "abcd"]))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return every.groupBy("block").applyInPandas(_kept(where, places, length, with_text), schema)
+    return every.repartition(tasks, "block").groupBy("block").applyInPandas(_kept(where, places, length, with_text), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
