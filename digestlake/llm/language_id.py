@@ -160,10 +160,15 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, text_col: st
     """
     prepared(docs)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the rank is cut in the scan already, so a task sends train_docs rows of a language at most
-    chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().limit(train_docs * MAX_LANGUAGES).collect()]
+    # a hash bound leaves about twice the documents wanted of each language, so that ranking them is small work at any size
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    bound = F.floor(F.least(F.lit(1.0), (2 * train_docs + 100) / F.col("n")) * (1 << 31))
+    bounds = sizes.select(F.col("lang").alias("__lang"), bound.alias("__bound"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    near = labelled.select("doc_id", "lang").join(F.broadcast(bounds), (F.col("lang") == F.col("__lang")) & (place < F.col("__bound")))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
+    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # train_docs times languages at most
     sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "__id long")), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
