@@ -90,7 +90,8 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", held: int =
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
     rows = written(rows, "shard-rows")
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("group_bytes"))
-    placed = rows.join(groups, "digest")
+    # groups are written first, so that the join's inputs are plain exchanges and a large group's rows can be split
+    placed = rows.join(written(groups, "shard-groups"), "digest")
     # parts of the order: a large group spans parts, since its rows are told apart by doc_id
     order = ["first_id", "digest", "doc_id"]
     placed = written(placed, "shard-placed")
