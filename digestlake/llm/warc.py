@@ -66,6 +66,7 @@ def write_warc(pages: DataFrame, out_dir: str, least_bytes: int = 0) -> list[tup
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    shared = written(shared.drop("n"), "warc-shared")  # the join's inputs are then plain exchanges, which can be split
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     if least_bytes:
         shared = shared.withColumnRenamed("sha", "s")
