@@ -1,6 +1,7 @@
 """Every query of the catalog against its SQL twin in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from digestlake.plans import catalog
@@ -17,7 +18,7 @@ def duck(sf_dir):
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     x = x.item() if hasattr(x, "item") else x
     return int(x) if isinstance(x, float) and x == int(x) else x

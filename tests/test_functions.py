@@ -197,3 +197,15 @@ def test_store_and_stream(spark, tmp_path):
         keep_latest(stream, store, "latest", ["key"], ["ts"], str(tmp_path / "cp")).awaitTermination()
         spark.createDataFrame([(1, 2, "c"), (2, 0, "old")], schema).write.mode("append").parquet(source)
     assert {(r.key, r.value) for r in store.read("latest").collect()} == {(1, "c"), (2, "b")}
+
+
+def test_checkout(spark, tmp_path):
+    from digestlake.sources.checkout import checkout
+
+    files = spark.createDataFrame([("a/b.txt", "hi"), ("c.gz", "raw")], "path string, bytes string")
+    assert {tuple(r) for r in checkout(files, str(tmp_path / "out")).collect()} == {("a/b.txt", 2), ("c.gz", 3)}
+    assert (tmp_path / "out/a/b.txt").read_text() == "hi" and (tmp_path / "out/c.gz").read_bytes() == b"raw"
+    with pytest.raises(FileExistsError):
+        checkout(files, str(tmp_path / "out"))
+    listed = archives.importer("files")(spark, str(tmp_path / "out"))
+    assert {r.path: r.size for r in listed.collect()} == {"a/b.txt": 2, "c.gz": 3}
