@@ -295,7 +295,7 @@ def _(r):
 
 
 @add("validators", """SELECT name, regexp_full_match(replace(name, '/', '.') || '.v1', '[a-z0-9-]+(\\.[a-z0-9-]+)*\\.v[0-9]+') AND strlen(name) + 3 <= 64 AS ok_namespace,
-  strlen(name) BETWEEN 1 AND 1024 AND len(list_filter(string_split(name, '/'), x -> strlen(x) NOT BETWEEN 1 AND 255)) = 0 AS ok_root, strlen(name) BETWEEN 1 AND 255 AND NOT contains(name, '/') AND name NOT IN ('.', '..') AS ok_component FROM roots""")
+  strlen(name) BETWEEN 1 AND 1024 AND len(list_filter(string_split(name, '/'), lambda x: strlen(x) NOT BETWEEN 1 AND 255)) = 0 AS ok_root, strlen(name) BETWEEN 1 AND 255 AND NOT contains(name, '/') AND name NOT IN ('.', '..') AS ok_component FROM roots""")
 def _(r):
     return r.roots.select(
         "name", text.valid_namespace(F.concat(F.replace(F.col("name"), F.lit("/"), F.lit(".")), F.lit(".v1"))).alias("ok_namespace"),
