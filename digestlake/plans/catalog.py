@@ -99,19 +99,20 @@ def _(r):
     return r.objects.where(F.col("native_id") == region(1)).select("namespace", "native_id", "payload")
 
 
-@add("lookup_object_batch", f"WITH {ASKED} SELECT a.ordinal, a.native_id, o.namespace, o.payload, o.created_generation FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id")
+@add("lookup_object_batch", f"WITH {ASKED} SELECT a.ordinal, a.native_id, o.namespace, o.payload, CAST(o.created_generation AS VARCHAR) AS created_generation FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id")
 def _(r):
-    return scans.lookup(asked(r), r.objects, "native_id", ["namespace", "payload", "created_generation"])
+    found = scans.lookup(asked(r), r.objects, "native_id", ["namespace", "payload", "created_generation"])
+    return found.withColumn("created_generation", F.col("created_generation").cast("string"))
 
 
-@add("lookup_payload_batch", f"WITH {ASKED} SELECT a.ordinal, o.payload, o.payload_size FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id")
+@add("lookup_payload_batch", f"WITH {ASKED} SELECT a.ordinal, o.payload, CAST(o.payload_size AS VARCHAR) AS payload_size FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id")
 def _(r):
-    return scans.lookup(asked(r), r.objects, "native_id", ["payload", "payload_size"]).drop("native_id")
+    return scans.lookup(asked(r), r.objects, "native_id", ["payload", "payload_size"]).select("ordinal", "payload", F.col("payload_size").cast("string"))
 
 
-@add("lookup_validated_payload_batch", f"WITH {ASKED} SELECT a.ordinal, o.payload, o.payload_size FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id AND o.validated")
+@add("lookup_validated_payload_batch", f"WITH {ASKED} SELECT a.ordinal, o.payload, CAST(o.payload_size AS VARCHAR) AS payload_size FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id AND o.validated")
 def _(r):
-    return scans.lookup(asked(r), r.objects, "native_id", ["payload", "payload_size"], F.col("validated")).drop("native_id")
+    return scans.lookup(asked(r), r.objects, "native_id", ["payload", "payload_size"], F.col("validated")).select("ordinal", "payload", F.col("payload_size").cast("string"))
 
 
 @add("lookup_validated_closures", f"WITH {ASKED} SELECT a.ordinal, coalesce(o.validated, false) AS validated FROM asked a LEFT JOIN objects o ON a.native_id = o.native_id")
@@ -187,10 +188,10 @@ def _(r):
     return scans.resolve_unique(r.objects, r.objects.where("kind = 'doc'").select(F.substring("payload", 1, 4).alias("oid")).distinct())
 
 
-@add("view_read_clamped", "SELECT page_id, sha256(substring(html, 101, 50)) AS part FROM pages WHERE html IS NOT NULL AND strlen(html) = length(html)")
+@add("view_read_clamped", "SELECT doc_id, sha256(substring(text, 101, 50)) AS part FROM documents WHERE strlen(text) = length(text)")
 def _(r):
-    plain = r.pages.where(F.octet_length("html") == F.length("html"))
-    return plain.select("page_id", F.sha2(scans.read_range(F.col("html"), 100, 50), 256).alias("part"))
+    plain = r.documents.where(F.octet_length("text") == F.length("text"))
+    return plain.select("doc_id", F.sha2(scans.read_range(F.col("text"), 100, 50), 256).alias("part"))
 
 
 @add("view_lookup_entries", f"SELECT name, kind, digest, size FROM entries WHERE dir = '{region(2)}'")
