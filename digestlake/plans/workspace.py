@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_DIR = "/tmp/checkpoints/digestlake"
+_cuts: list[str] = []
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -29,11 +32,29 @@ def shipped(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df, in spark.checkpoint.dir or, where that is unset, in a local default."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR)
-    return df.checkpoint()
+    """df written once as Parquet in spark.checkpoint.dir (or a local default where that is unset) and read back.
+
+    An RDD checkpoint computes its input twice and hides its size; a table is computed once and its size lets the
+    planner broadcast a small frontier. The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_cuts() -> None:
+    from pyarrow import fs
+
+    for path in _cuts:
+        try:
+            store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+            store.delete_dir(at)
+        except Exception:  # noqa: BLE001  the folder may be gone, or its store out of reach at exit
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
