@@ -41,29 +41,70 @@ def compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, length: np.
     return np.stack([v[i] ^ v[i + 8] for i in range(8)], axis=1)
 
 
-def blake3(data: bytes) -> bytes:
-    """The 32-byte BLAKE3 digest. Chunks of 1 KiB advance side by side; parents are combined level by level."""
-    chunks = max(1, -(-len(data) // 1024))
-    size = np.full(chunks, 1024, dtype=np.int64)
-    size[-1] = len(data) - 1024 * (chunks - 1)
-    words = np.frombuffer(data.ljust(chunks * 1024, b"\0"), dtype="<u4").reshape(chunks, 16, 16)
+def subtrees(parts: list[bytes], first: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The chaining value of each part: a subtree whose first chunk has the number first, a whole tree where root.
+
+    The 1 KiB chunks of all parts advance side by side, then the parents of all parts, level by level.
+    """
+    if not parts:
+        return np.empty((0, 8), dtype=np.uint32)
+    length = np.array([len(p) for p in parts], dtype=np.int64)
+    count = np.maximum(1, -(-length // 1024))
+    words = np.frombuffer(b"".join(p.ljust(c * 1024, b"\0") for p, c in zip(parts, count.tolist())), dtype="<u4").reshape(-1, 16, 16)
+    owner = np.repeat(np.arange(len(parts)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(1024, length[owner] - 1024 * at)
     blocks = np.maximum(1, -(-size // 64))
-    cv = np.tile(np.array(IV, dtype=np.uint32), (chunks, 1))
-    number = np.arange(chunks, dtype=np.int64)
+    top = np.where((count == 1) & root, ROOT, 0)[owner]
+    cv = np.tile(np.array(IV, dtype=np.uint32), (len(owner), 1))
+    number = first[owner] + at
     for k in range(int(blocks.max())):
         on = np.nonzero(blocks > k)[0]
-        flags = np.where(blocks[on] == k + 1, CHUNK_END, 0) | (CHUNK_START if k == 0 else 0)
-        if chunks == 1:
-            flags = flags | np.where(blocks[on] == k + 1, ROOT, 0)
+        flags = np.where(blocks[on] == k + 1, CHUNK_END | top[on], 0) | (CHUNK_START if k == 0 else 0)
         cv[on] = compress(cv[on], words[on, k], number[on], np.minimum(64, size[on] - 64 * k), flags)
-    start = np.array(IV, dtype=np.uint32)
-    while len(cv) > 1:
+    while len(owner) > len(parts):
         # full left subtrees pair up; an odd node waits for the next level
-        pairs = len(cv) // 2
-        top = np.full(pairs, PARENT | (ROOT if len(cv) == 2 else 0))
-        up = compress(np.tile(start, (pairs, 1)), cv[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, dtype=np.int64), np.full(pairs, 64), top)
-        cv = np.concatenate([up, cv[2 * pairs :]])
-    return cv[0].astype("<u4").tobytes()
+        left = np.nonzero((at % 2 == 0) & (at + 1 < count[owner]))[0]
+        cv[left] = parents(np.concatenate([cv[left], cv[left + 1]], axis=1), ((count == 2) & root)[owner[left]])
+        stay = at % 2 == 0
+        cv, owner, at, count = cv[stay], owner[stay], at[stay] // 2, (count + 1) // 2
+    return cv
+
+
+def parents(pairs: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The chaining values of parents, from their two children side by side (n, 16)."""
+    n = len(pairs)
+    start = np.tile(np.array(IV, dtype=np.uint32), (n, 1))
+    return compress(start, pairs, np.zeros(n, dtype=np.int64), np.full(n, 64), np.where(root, PARENT | ROOT, PARENT))
+
+
+#: Bytes that advance side by side at most, unless one payload is longer.
+SIDE_BY_SIDE = 16 << 20
+
+
+def groups(sizes: list[int]) -> Iterator[slice]:
+    """Runs of positions whose sizes add up to SIDE_BY_SIDE or are one."""
+    low = total = 0
+    for i, n in enumerate(sizes):
+        if i > low and total + n > SIDE_BY_SIDE:
+            yield slice(low, i)
+            low, total = i, 0
+        total += n
+    if sizes:
+        yield slice(low, len(sizes))
+
+
+def blake3_many(payloads: list[bytes]) -> list[bytes]:
+    """The 32-byte BLAKE3 digests."""
+    out = []
+    for some in groups([len(p) for p in payloads]):
+        n = len(payloads[some])
+        out += [v.tobytes() for v in subtrees(payloads[some], np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)).astype("<u4")]
+    return out
+
+
+def blake3(data: bytes) -> bytes:
+    return blake3_many([data])[0]
 
 
 def blake3_hex(col: Column) -> Column:
@@ -72,7 +113,8 @@ def blake3_hex(col: Column) -> Column:
 
     @F.pandas_udf("string")
     def digest(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: None if x is None else blake3(bytes(x)).hex())
+        found = iter(blake3_many([bytes(x) for x in parts if x is not None]))
+        return pd.Series([None if x is None else next(found).hex() for x in parts], dtype=object)
 
     return digest(col.cast("binary"))
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from digestlake.functions import hashing, text
+from digestlake.functions import deltas, hashing, proofs, text
 from digestlake.operators import collect, folds, graph, scans, sync
 from digestlake.plans.derive import Repo, with_derived
-from digestlake.sources import archives, git
+from digestlake.sources import archives, git, nar
 
 Query = Callable[[Repo], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -897,10 +897,14 @@ def _(r):
     return sync.pin_conflicts(r.pins.withColumn("scope", F.col("scope")), 0, r.roots, r.dst_objects.select("native_id"), r.objects.select("native_id"))
 
 
-@add("overwrite_payload", "SELECT doc_id, sha256(concat(substring(text, 1, 10), 'PATCHED', substring(text, 18))) AS payload FROM documents WHERE length(text) >= 17 AND strlen(text) = length(text)")
+def doc_bytes(r: Repo) -> DataFrame:
+    return r.documents.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("bytes"))
+
+
+@add("overwrite_payload", "SELECT doc_id, sha256(unhex(concat(substring(h, 1, 20), hex(encode('PATCHED')), substring(h, 35)))) AS payload FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 17)")
 def _(r):
-    plain = r.documents.where((F.length("text") >= 17) & (F.octet_length("text") == F.length("text")))
-    return plain.select("doc_id", F.sha2(text.patched(F.col("text"), 10, F.lit("PATCHED")), 256).alias("payload"))
+    rows = doc_bytes(r).where(F.octet_length("bytes") >= 17)
+    return rows.select("doc_id", F.sha2(text.patched(F.col("bytes"), 10, F.lit(b"PATCHED")), 256).alias("payload"))
 
 
 @add("stage_alias", "SELECT SHA(concat('alias:', native_id)) AS native_id, payload, payload_size FROM objects WHERE kind = 'nation'")
@@ -968,6 +972,49 @@ def _(r):
     return rows.groupBy("payload").agg(F.sum(F.when(literal, 1).otherwise(0)).alias("literals"), F.sum(F.when(literal, F.col("size")).otherwise(0)).alias("literal_bytes"), F.count("held").alias("copies"))
 
 
+_LONG = "(SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 800)"
+
+
+@add("range_proof_read", f"SELECT doc_id, sha256(unhex(substring(h, 601, 1000))) AS piece FROM {_LONG}")
+def _(r):
+    made = proofs.range_proofs(doc_bytes(r), "doc_id", 300, 500)
+    return proofs.open_proofs(made, "doc_id", 300, 500).select("doc_id", F.sha2("bytes", 256).alias("piece"))
+
+
+@add("range_proof_overwrite", f"SELECT doc_id, true AS same FROM {_LONG}")
+def _(r):
+    rows, piece = doc_bytes(r), bytes(500)
+    after = proofs.open_proofs(proofs.range_proofs(rows, "doc_id", 300, 500), "doc_id", 300, 500, piece)
+    whole = rows.select("doc_id", hashing.blake3_hex(text.patched(F.col("bytes"), 300, F.lit(piece))).alias("want"))
+    return after.join(whole, "doc_id").select("doc_id", (F.lower(F.hex("digest_after")) == F.col("want")).alias("same"))
+
+
+def revisions(r: Repo) -> DataFrame:
+    """Documents as old, and as new without their bytes 200 to 249 and with some others there."""
+    raw = F.col("bytes")
+    new = F.concat(F.substring(raw, 1, 200), F.lit(b"<!-- new -->"), raw.substr(F.lit(251), F.octet_length(raw)))
+    return doc_bytes(r).select("doc_id", new.alias("new"), raw.alias("old"))
+
+
+@add("delta_frames", "SELECT doc_id, sha256(unhex(concat(substring(h, 1, 400), hex(encode('<!-- new -->')), substring(h, 501)))) AS payload FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL)")
+def _(r):
+    rows = revisions(r)
+    frames = deltas.deltas(rows, "doc_id").join(rows.select("doc_id", "old"), "doc_id")
+    return deltas.patched_from(frames, "doc_id").select("doc_id", F.sha2("bytes", 256).alias("payload"))
+
+
+@add("delta_statistics", "SELECT doc_id, 12 + least(strlen(text), 200) + greatest(strlen(text) - 250, 0) AS bytes FROM documents WHERE text IS NOT NULL")
+def _(r):
+    return deltas.deltas(revisions(r), "doc_id").select("doc_id", (F.col("literal_bytes") + F.col("copy_bytes")).alias("bytes"))
+
+
+@add("nar_of_blobs", f"""SELECT page_id, 112 + n + (8 - n % 8) % 8 AS nar_size, sha256(unhex(concat('{nar.file_prefix().hex()}', printf('%02x%02x%02x%02x00000000', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216),
+  hex(encode(html)), repeat('00', (8 - n % 8) % 8), '{nar.text(b")").hex()}'))) AS nar_sha256 FROM (SELECT page_id, html, strlen(html) AS n FROM pages WHERE html IS NOT NULL)""")
+def _(r):
+    made = r.pages.where("html is not null").select("page_id", nar.file_nar(F.col("html")).alias("nar"))
+    return made.select("page_id", F.octet_length("nar").cast("long").alias("nar_size"), F.sha2("nar", 256).alias("nar_sha256"))
+
+
 NEEDLES = ["the", "que", "example.com", "the", "zzzz"]
 
 

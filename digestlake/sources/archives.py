@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestlake.plans.workspace import checkpointed, shipped
+from digestlake.sources import nar
 
 FILES = "path string, kind string, target string, size long, digest string"
 _REGISTRY: dict[str, Callable] = {}
@@ -30,9 +31,11 @@ def importer(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def detect(head: bytes) -> str:
-    """What a file is, by its first 512 bytes: archive, tar, or blob."""
+    """What a file is, by its first 512 bytes: archive, nar, tar, or blob."""
     if head.startswith(MAGIC):
         return "archive"
+    if head.startswith(nar.text(nar.MAGIC)):
+        return "nar"
     if len(head) >= 512 and head[148:156].strip(b" \0"):
         try:
             want = int(head[148:156].strip(b" \0"), 8)
@@ -122,6 +125,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 register_importer("tar", read_tar)
 register_importer("files", read_files)
+register_importer("nar", nar.read_nar)
 
 
 def select_platform(index: list[dict], platform: str) -> dict:
