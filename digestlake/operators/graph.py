@@ -6,21 +6,47 @@ plans stay short and lost executors cost one level. Links are made distinct firs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestlake.plans.workspace import checkpointed
 
 
+#: Tables of one size class that a walk keeps of what it has seen, before it writes them as one of the next class.
+FAN = 8
+
+
+class Seen:
+    """What a walk has met, as few tables however many levels it has: each row is rewritten once per size class."""
+
+    def __init__(self, first: DataFrame):
+        self.classes: list[list[DataFrame]] = [[first]]
+
+    def add(self, level: DataFrame) -> None:
+        self.classes[0].append(level)
+        for i, some in enumerate(self.classes):
+            if len(some) < FAN:
+                return
+            if i + 1 == len(self.classes):
+                self.classes.append([])
+            self.classes[i + 1].append(checkpointed(reduce(DataFrame.unionByName, some)))
+            self.classes[i] = []
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for some in self.classes for t in some])
+
+
 class TraversalLimit(RuntimeError):
     """A walk met more objects than allowed."""
 
 
-def closure(links: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, limit: int = 10_000_000, depth: int | None = None, by: list[str] | None = None) -> DataFrame:
+def closure(links: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, limit: int | None = None, depth: int | None = None, by: list[str] | None = None) -> DataFrame:
     """(by..., native_id, depth) of all that seeds (by..., native_id) reach, with the least depth.
 
     Objects in stop (native_id) are reached and not expanded. depth ends the walk at that many links. More objects than
-    limit raise TraversalLimit.
+    limit, if there is one, raise TraversalLimit.
     """
     by = by or []
     key = [*by, "native_id"]
@@ -29,19 +55,19 @@ def closure(links: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, l
         edges = edges.join(stop.select("native_id").distinct(), "native_id", "left_anti")
     edges = checkpointed(edges.distinct())
     level = checkpointed(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    seen, at, total = level, 0, level.count()
+    seen, at, total = Seen(level), 0, level.count()
     while depth is None or at < depth:
         at += 1
         level = level.join(edges, "native_id").select(*by, F.col("dst").alias("native_id")).distinct().withColumn("depth", F.lit(at))
-        level = checkpointed(level.join(seen, key, "left_anti"))
+        level = checkpointed(level.join(seen.rows(), key, "left_anti"))
         new = level.count()
         if not new:
             break
         total += new
-        if total > limit:
+        if limit is not None and total > limit:
             raise TraversalLimit(f"more than {limit} objects")
-        seen = seen.unionByName(level)
-    return seen
+        seen.add(level)
+    return seen.rows()
 
 
 def closure_status(objects: DataFrame, links: DataFrame, seeds: DataFrame, label: str = "name", stop: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from digestlake.functions import deltas, hashing, proofs, text
-from digestlake.operators import collect, folds, graph, scans, sync
+from digestlake.operators import collect, folds, graph, packs, scans, sync
 from digestlake.plans.derive import Repo, with_derived
 from digestlake.sources import archives, git, nar
 
@@ -561,6 +561,31 @@ def _(r):
     return folds.pack_garbage(r.pack_entries)
 
 
+@add("pack_compaction", """WITH s AS (SELECT pack, sum(CASE WHEN dead THEN framed_len ELSE 0 END) AS d, sum(framed_len) AS b, count(*) FILTER (NOT dead) AS live FROM pack_entries GROUP BY pack),
+  m AS (SELECT e.*, d > 0 AND (d * 100 >= b * 50 OR live = 0) AS moves FROM pack_entries e JOIN s ON e.pack = s.pack)
+  SELECT CASE WHEN moves THEN concat(pack, '+') ELSE pack END AS pack, chunk, framed_len, pack AS old_pack,
+    CASE WHEN moves THEN CAST(coalesce(sum(framed_len) OVER (PARTITION BY pack ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS "offset" FROM m WHERE NOT moves OR NOT dead""")
+def _(r):
+    return packs.compacted(r.pack_entries)
+
+
+@add("shard_compaction", """SELECT shard, k, version, status FROM (SELECT CAST(floor(o_orderkey / 64) AS BIGINT) AS shard, CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS version,
+  CASE WHEN o_orderkey % 194 = 0 THEN 'gone' WHEN o_orderkey % 97 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders)
+  WHERE status <> 'gone' AND shard IN (SELECT CAST(floor(o_orderkey / 64) AS BIGINT) FROM orders WHERE o_orderkey % 97 = 0)""")
+def _(r):
+    k = F.col("o_orderkey").cast("long")
+    base = r.orders.select(k.alias("k"), F.lit(0).alias("version"), F.col("o_orderstatus").alias("status"))
+    delta = r.orders.where(k % 97 == 0).select(k.alias("k"), F.lit(1).alias("version"), F.when(k % 194 == 0, "gone").otherwise("new").alias("status"))
+    return packs.rewritten_shards(base, delta, ["k"], ["version"], F.floor(F.col("k") / 64).cast("long"), F.col("status") == "gone")
+
+
+@add("run_carry", """SELECT CASE WHEN run < 8 THEN 3 WHEN run < 10 THEN 1 ELSE 0 END AS level, user_id, max(run) AS run, arg_max(event_id, run * 1000000000 + event_id) AS event_id
+  FROM (SELECT CAST(event_id % 11 AS BIGINT) AS run, user_id, event_id FROM events) GROUP BY 1, 2""")
+def _(r):
+    runs = r.events.select((F.col("event_id") % 11).cast("long").alias("run"), "user_id", "event_id")
+    return packs.carried_runs(runs, ["user_id"], ["run", "event_id"])
+
+
 @add("run_compaction_levels", "SELECT n, length(regexp_extract(bin(n), '1*$')) AS merged FROM (SELECT CAST(p_partkey AS BIGINT) AS n FROM part)")
 def _(r):
     n = F.col("p_partkey").cast("long")

@@ -60,20 +60,50 @@ class SnapshotStore:
             rows.write.parquet(f"{self.path}/{placed[name]}")
         new = {"generation": head["generation"] + 1, "revision": revision, "tables": placed}
         try:
-            out = self._fs.create(self._path(f"{self.path}/log/{new['generation']}.json"), False)
+            self._point(new, False)
         except Exception as e:
             raise StaleRevision(f"generation {new['generation']} was taken") from e
+        return new
+
+    def _point(self, snapshot: dict, replace: bool) -> None:
+        out = self._fs.create(self._path(f"{self.path}/log/{snapshot['generation']}.json"), replace)
         try:
-            out.write(bytearray(json.dumps(new).encode()))
+            out.write(bytearray(json.dumps(snapshot).encode()))
         finally:
             out.close()
-        return new
+
+    def _snapshots(self) -> list[dict]:
+        """All snapshots, oldest first, in one read."""
+        if not self._pointers():
+            return []
+        rows = self.spark.read.text(f"{self.path}/log", wholetext=True, pathGlobFilter="*.json").collect()
+        return sorted((json.loads(r[0]) for r in rows), key=lambda s: s["generation"])
 
     def unreferenced(self) -> list[str]:
         """Data folders that no snapshot names."""
         top = self._path(f"{self.path}/data")
-        used = {t for g in self._pointers() for t in self.at(g)["tables"].values()}
-        return sorted(f"data/{s.getPath().getName()}" for s in self._fs.listStatus(top) if f"data/{s.getPath().getName()}" not in used)
+        used = {t for s in self._snapshots() for t in s["tables"].values()}
+        names = [f"data/{s.getPath().getName()}" for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted(n for n in names if n not in used)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Drop the tables of all but the newest keep generations; return the data folders that go.
+
+        Folders that no generation names may belong to a commit under way and stay. Readers of a dropped generation
+        fail, so keep must cover the longest of them. A dropped generation keeps its pointer, without tables, so that
+        no late commit can claim it again. Pointers change before data goes: a run that is cut short leaves folders
+        behind, which unreferenced then lists, and never a generation that names lost data.
+        """
+        if keep < 1:
+            raise ValueError("the newest generation must stay")
+        found = self._snapshots()
+        old, kept = [s for s in found[:-keep] if s["tables"]], found[-keep:]
+        dead = sorted({t for s in old for t in s["tables"].values()} - {t for s in kept for t in s["tables"].values()})
+        for s in old:
+            self._point(s | {"tables": {}}, True)
+        for name in dead:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        return dead
 
 
 def keep_latest(stream: DataFrame, store: SnapshotStore, table: str, key: list[str], order: list[str], checkpoint: str) -> StreamingQuery:

@@ -162,6 +162,42 @@ def test_closure_against_a_model(spark, edges, seeds):
     assert {r[0] for r in graph.closure(links, start).select("native_id").collect()} == want
 
 
+def test_deep_closure_keeps_few_tables(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FAN", 2)
+    seen = graph.Seen(spark.range(1))
+    for i in range(1, 8):
+        seen.add(spark.range(i, i + 1))
+    assert sum(map(len, seen.classes)) <= 3 and sorted(r.id for r in seen.rows().collect()) == list(range(8))
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 4)], "src int, dst int")
+    got = graph.closure(links, spark.createDataFrame([(0,)], "native_id int"))
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(10)]
+
+
+def test_compaction(spark):
+    from digestlake.operators import packs
+
+    rows = [("a", "1", 10, True), ("a", "2", 4, False), ("a", "3", 5, False), ("b", "4", 9, False), ("b", "5", 1, True), ("c", "6", 3, True)]
+    entries = spark.createDataFrame(rows, "pack string, chunk string, framed_len long, dead boolean")
+    got = sorted(tuple(r) for r in packs.compacted(entries).collect())
+    assert [g[:4] for g in got] == [("a+", "2", 4, "a"), ("a+", "3", 5, "a"), ("b", "4", 9, "b"), ("b", "5", 1, "b")]
+    assert [g[4] for g in got] == [0, 4, None, None]
+    assert packs.compacted(entries.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 8])
+def test_carried_runs_against_a_counter(spark, n):
+    from digestlake.operators import packs
+
+    levels = {}
+    for run in range(n):
+        merged, level = [run], 0
+        while level in levels:
+            merged, level = levels.pop(level) + merged, level + 1
+        levels[level] = merged
+    runs = spark.createDataFrame([(i, 0) for i in range(n)], "run long, k int")
+    assert {r.level: r.run for r in packs.carried_runs(runs, ["k"], ["run"]).collect()} == {k: max(v) for k, v in levels.items()}
+
+
 def test_closure_limit(spark):
     links = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
     with pytest.raises(graph.TraversalLimit):
@@ -189,6 +225,14 @@ def test_store_and_stream(spark, tmp_path):
     second = store.commit(first["revision"], objects=spark.range(5))
     assert second["generation"] == 2 and store.read("objects", 1).count() == 3 and store.read("objects").count() == 5
     assert store.unreferenced() == []
+    spark.range(1).write.parquet(str(tmp_path / "repo" / "data" / "under-way"))
+    dropped = store.vacuum()
+    assert dropped == [first["tables"]["objects"]] and store.read("objects").count() == 5
+    assert store.unreferenced() == ["data/under-way"] and store.vacuum() == []
+    with pytest.raises(KeyError):
+        store.read("objects", 1)
+    with pytest.raises(StaleRevision):
+        store.commit(first["revision"], objects=spark.range(1))
     source = str(tmp_path / "in")
     schema = "key int, ts int, value string"
     spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema).write.parquet(source)
