@@ -36,6 +36,24 @@ def transfer_plan(source: DataFrame, links: DataFrame, target: DataFrame, seeds:
     return rows.join(there, "payload", "left").select("native_id", "payload", "payload_size", action.alias("action"))
 
 
+def requested_status(objects: DataFrame, links: DataFrame, requested: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(name, status) of requested (name, native_id) at a place: Complete, Missing, Incomplete or Invalid.
+
+    Missing: the object itself has no record. Incomplete: something that it reaches has none. Invalid: a record's
+    payload is not held. Of several faults the one nearest the requested object counts, and a missing record before a
+    missing payload. Only objects that are there are followed.
+    """
+    there = links.join(objects.select(F.col("native_id").alias("src")), "src", "left_semi")
+    reached = closure(there, requested, by=["name"])
+    known = objects.select("native_id", "payload").distinct()
+    held = payloads.select("payload").distinct().withColumn("held", F.lit(True))
+    rows = reached.join(known, "native_id", "left").join(held, "payload", "left")
+    fault = F.when(F.col("payload").isNull(), 0).when(F.col("held").isNull(), 1)
+    first = F.min(F.when(fault.isNotNull(), F.struct("depth", fault.alias("fault"))))
+    status = F.when(F.col("f").isNull(), "Complete").when(F.col("f.fault") == 1, "Invalid").when(F.col("f.depth") == 0, "Missing").otherwise("Incomplete")
+    return rows.groupBy("name").agg(first.alias("f")).select("name", status.alias("status"))
+
+
 def slice_bases(source_roots: DataFrame, target_roots: DataFrame) -> DataFrame:
     """Roots of one name that differ: the target's object is the base to send against."""
     right = target_roots.select("name", F.col("native_id").alias("base"))

@@ -1082,10 +1082,17 @@ def _(r):
     return r.objects.select("payload", "payload_size").distinct().join(r.dst_objects, "payload", "left_anti")
 
 
-@add("transfer_status", "SELECT DISTINCT r.name, CASE WHEN d.native_id IS NULL THEN 'Missing' ELSE 'Present' END AS status FROM roots r LEFT JOIN dst_objects d ON r.native_id = d.native_id")
-def _(r):
-    there = r.dst_objects.select("native_id", F.lit("Present").alias("s"))
-    return r.roots.join(there, "native_id", "left").select("name", F.coalesce("s", F.lit("Missing")).alias("status"))
+@add("transfer_status", """WITH RECURSIVE asked AS (SELECT name, native_id FROM roots UNION ALL SELECT concat('suppliers/', s_name), SHA(concat('supplier:', CAST(s_suppkey AS VARCHAR))) FROM supplier
+    UNION ALL SELECT concat('orders/', CAST(o_orderkey AS VARCHAR)), SHA(concat('order:', CAST(o_orderkey AS VARCHAR))) FROM orders),
+  w AS (SELECT name, native_id, 0 AS depth FROM asked UNION SELECT w.name, links.dst, depth + 1 FROM w JOIN links ON links.src = w.native_id WHERE w.native_id IN (SELECT native_id FROM dst_objects)),
+  f AS (SELECT w.name, min(w.depth * 10 + CASE WHEN d.native_id IS NULL THEN 0 WHEN d.payload < '1' THEN 1 ELSE NULL END) AS f FROM w LEFT JOIN dst_objects d ON w.native_id = d.native_id GROUP BY w.name)
+  SELECT name, CASE WHEN f IS NULL THEN 'Complete' WHEN f % 10 = 1 THEN 'Invalid' WHEN f = 0 THEN 'Missing' ELSE 'Incomplete' END AS status FROM f""")
+def _(r):
+    id_of = lambda kind, k: F.sha2(F.concat(F.lit(f"{kind}:"), F.col(k).cast("string")), 256).alias("native_id")
+    suppliers = r.supplier.select(F.concat(F.lit("suppliers/"), "s_name").alias("name"), id_of("supplier", "s_suppkey"))
+    orders = r.orders.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("name"), id_of("order", "o_orderkey"))
+    asked = r.roots.select("name", "native_id").unionByName(suppliers).unionByName(orders)
+    return sync.requested_status(r.dst_objects, r.links, asked, r.payloads.where("payload >= '1'"))
 
 
 @add("slice_bases", "SELECT r.name, r.native_id, d.native_id AS base FROM roots r JOIN dst_roots d ON r.name = d.name WHERE r.native_id <> d.native_id")

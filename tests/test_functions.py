@@ -253,3 +253,12 @@ def test_checkout(spark, tmp_path):
         checkout(files, str(tmp_path / "out"))
     listed = archives.importer("files")(spark, str(tmp_path / "out"))
     assert {r.path: r.size for r in listed.collect()} == {"a/b.txt": 2, "c.gz": 3}
+
+
+def test_requested_status(spark):
+    objects = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q"), ("d", "p"), ("e", "p")], "native_id string, payload string")
+    links = spark.createDataFrame([("a", "b"), ("d", "c"), ("e", "gone"), ("e", "c"), ("gone", "c")], "src string, dst string")
+    asked = spark.createDataFrame([(x, x) for x in ("a", "b", "c", "d", "e", "gone")], "name string, native_id string")
+    got = sync.requested_status(objects, links, asked, spark.createDataFrame([("p",)], "payload string"))
+    assert dict(map(tuple, got.collect())) == {"a": "Complete", "b": "Complete", "c": "Invalid", "d": "Invalid", "e": "Incomplete", "gone": "Missing"}
+    assert sync.requested_status(objects, links, asked.where("false"), objects).count() == 0
