@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from digestlake.operators.graph import closure
-from digestlake.plans.workspace import shipped
 
 
 def record_diff(source: DataFrame, target: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -63,22 +65,37 @@ def slice_bases(source_roots: DataFrame, target_roots: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, key: str, order: str, size: str, budget: int, count: int) -> DataFrame:
     """rows with batch: greedy batches in order within each key, closed by the byte budget or the count.
 
-    An item larger than the budget has a batch of its own. Greedy cuts depend on every cut before, so a key is cut in
-    one task; keys are the receivers' sessions.
+    An item larger than the budget has a batch of its own; a null size counts as 0. Greedy cuts depend on every cut
+    before, so a key is cut in one task, which streams over its sorted rows and holds one Arrow batch of them.
     """
-    shipped(rows.sparkSession)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        numbers, batch, held, many = [], 0, 0, 0
-        for n in pdf[size]:
-            if many and (held + n > budget or many >= count):
-                batch, held, many = batch + 1, 0, 0
-            held, many = held + n, many + 1
-            numbers.append(batch)
-        return pdf.assign(batch=numbers)
-
-    return rows.groupBy(key).applyInPandas(cut, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
+    names = rows.columns
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, held, many = object(), 0, 0, 0
+        for part in parts:
+            keys = part.column(names.index(key)).to_pylist()
+            sizes = np.nan_to_num(part.column(names.index(size)).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            numbers, at = np.empty(len(keys), dtype=np.int32), 0
+            while at < len(keys):
+                if keys[at] != last:
+                    last, batch, held, many = keys[at], 0, 0, 0
+                high = at + 1 if keys[-1] != last else len(keys)
+                while high < len(keys) and keys[high] == last:
+                    high += 1
+                while at < high:
+                    fit = int(np.searchsorted(before, before[at] + budget - held, side="right")) - 1
+                    end = min(max(fit, at), at + count - many, high)
+                    if end == at and many:
+                        batch, held, many = batch + 1, 0, 0
+                        continue
+                    end = max(end, at + 1)
+                    numbers[at:end] = batch
+                    held, many, at = held + int(before[end] - before[at]), many + end - at, end
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers)], [*names, "batch"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(cut, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 
 
 def archive_errors(records: DataFrame, links: DataFrame, roots: DataFrame, payloads: DataFrame) -> DataFrame:

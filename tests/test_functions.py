@@ -210,6 +210,24 @@ def test_batches_and_greedy_order(spark):
     assert got == [0, 0, 1, 2, 3, 3]
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(0, 12))), max_size=40), st.integers(1, 4))
+def test_batches_against_a_loop(spark, items, count):
+    want, state = [], {}
+    for i, (k, n) in enumerate(items):
+        batch, held, many = state.get(k, (0, 0, 0))
+        if many and (held + (n or 0) > 10 or many >= count):
+            batch, held, many = batch + 1, 0, 0
+        state[k] = batch, held + (n or 0), many + 1
+        want.append((k, i, n, batch))
+    rows = spark.createDataFrame([(k, i, n) for i, (k, n) in enumerate(items)], "k string, o int, n long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, sync.batches(rows, "k", "o", "n", 10, count).collect()), key=lambda r: r[1]) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_eviction_stops_when_pressure_ends(spark):
     roots = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, native_id int")
     policy = spark.createDataFrame([("a", "evictable", 2), ("b", "evictable", 1), ("c", "permanent", 0)], "name string, retention string, last_use int")
