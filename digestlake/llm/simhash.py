@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from digestlake.llm.common import keep_ids, partitions, prepared, written
 from digestlake.llm.components import components
+from digestlake.llm.jaccard import similar_groups
 
 #: Members of one band value that one task compares as a whole; above it the value is cut into tiles.
 TILE_ROWS = 16384
@@ -72,10 +73,6 @@ def exact_bands(radius: int) -> list[tuple[int, int, int]]:
     return [(0, a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def wide_bands(words: int, bits: int) -> list[tuple[int, int, int]]:
-    return [(k, a, bits) for k in range(words) for a in range(0, 64 - bits + 1, bits)]
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between positions a and b."""
     parent: dict[int, int] = {}
@@ -258,15 +255,13 @@ def near_groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int =
     return out.select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 44, band_bits: int = 12, text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
-    Shingles of five words and a similarity of 0.8: at that Jaccard similarity two of 256 bits differ with probability
-    0.15, so 39 differ on average and 44 is one deviation above. A pair at 0.8 shares one of the 20 bands of 12 bits
-    with probability 0.95, a pair at 0.9 with 0.9998. Rows with a null doc_id stay.
+    Shingles of five words and a Jaccard similarity of 0.8, verified; see jaccard. Bits of a fingerprint only estimate
+    it, so they do not decide here. Rows with a null doc_id stay.
     """
-    groups = near_groups(docs, shingle, words, radius, wide_bands(words, band_bits), text_col)
-    dropped = groups.where("component_id < doc_id").select("doc_id").distinct()
+    dropped = similar_groups(docs, shingle, least, text_col).where("component_id < doc_id").select("doc_id").distinct()
     return keep_ids(docs, dropped, "left_anti")
 
 

@@ -165,6 +165,46 @@ def test_near_copies_drop(spark, odd):
     assert simhash.drop_near_copies(odd).columns == odd.columns
 
 
+def test_near_copies_are_true_ones(spark):
+    rng = random.Random(8)
+    # a run of changed words in the middle: 0.8 or more stays, less does not count
+    doc = lambda: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(200)]
+    rows, want, share = [], set(), []
+    for k in range(300):
+        own = doc()
+        run = rng.randrange(5, 50)
+        copy = [*own[:80], *doc()[:run], *own[80 + run :]]
+        a, b = ({" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, copy))
+        share.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k, 2 * k + 1} if share[-1] < 0.8 else {2 * k}
+    assert 50 < sum(0.8 <= s < 0.9 for s in share) and 50 < sum(0.6 < s < 0.8 for s in share)
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_similar_groups_in_tiles(spark):
+    from digestlake.llm import jaccard
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    sets = [set(jaccard.shingles(t, 5).tolist()) for _, t in rows]
+    label = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (10, 1024):
+        assert {r.doc_id: r.component_id for r in jaccard.similar_groups(frame, tile=tile).collect()} == dict(enumerate(label))
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------------
 
 
