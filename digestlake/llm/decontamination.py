@@ -35,6 +35,16 @@ def _bare(raw: Column) -> Column:
     return F.lower(F.rtrim(raw, F.lit(".!?")))
 
 
+def _caseless(raw: Column, before: Column) -> Column:
+    """Names are words like any other, and letter case is folded."""
+    return (
+        F.when(raw.isNull(), F.lit(None).cast("string"))
+        .when(F.substring(raw, 1, 1).between("0", "9"), F.lit("<num>"))
+        .when(F.substring(before, 1, 1).between("0", "9") & _bare(raw).isin(UNITS), F.lit("<unit>"))
+        .otherwise(F.lower(F.upper(_bare(raw))))
+    )
+
+
 def _canonical(raw: Column, before: Column) -> Column:
     first = F.substring(raw, 1, 1)
     return (
@@ -46,44 +56,50 @@ def _canonical(raw: Column, before: Column) -> Column:
     )
 
 
-def _windows(rows: DataFrame, text_col: str) -> DataFrame:
-    """rows without their text, with raws, words, pos and hash: a row per window. A shorter text is one window."""
+def _windows(rows: DataFrame, text_col: str, rules: tuple) -> DataFrame:
+    """rows without their text, with raws, rule, words, pos and hash: a row per rule and window. A shorter text is one window."""
     kept = [c for c in rows.columns if c != text_col]
     raws = rows.select(*kept, F.regexp_extract_all(text_of(text_col), F.lit(_TOKEN), F.lit(0)).alias("raws"))
-    words = raws.select(*kept, "raws", F.zip_with("raws", F.concat(F.array(F.lit("")), "raws"), _canonical).alias("words")).where(F.size("raws") > 0)
+    made = [F.zip_with("raws", F.concat(F.array(F.lit("")), "raws"), rule) for rule in rules]
+    own = [F.lit(0).alias("rule"), made[0].alias("words")] if len(made) == 1 else [F.posexplode(F.array(*made)).alias("rule", "words")]
+    words = raws.select(*kept, "raws", *own).where(F.size("raws") > 0)
     cut = words.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("raws") - WINDOW, F.lit(0)))).alias("pos"))
     return cut.withColumn("hash", F.xxhash64(*[F.get("words", F.col("pos") + k) for k in range(WINDOW)]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE, text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE, text_col: str = "text", any_case: bool = False) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim) of the items that a document holds.
 
     verbatim: every slot holds the item's own value. An item that a document holds twice with different values counts
     if either alignment is consistent. Null and empty texts hold nothing and are held by nothing. Items of fewer than
     five words are held only by documents that have just those words. Rows with the same doc_id are one document, rows
     with the same item_id one item.
+
+    Names are told by their case. any_case also matches windows in which names are plain words and case is folded, so
+    copies in capitals or in lower case are found.
     """
+    rules = (_canonical, _caseless) if any_case else (_canonical,)
     bench = benchmark.select("item_id", F.col("text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    items = _windows(bench, "text").select(
-        "item_id", F.col("pos").alias("ipos"), F.col("hash").alias("ihash"), F.size("raws").alias("n_words"),
+    items = _windows(bench, "text", rules).select(
+        "item_id", F.col("rule").alias("irule"), F.col("pos").alias("ipos"), F.col("hash").alias("ihash"), F.size("raws").alias("n_words"),
         F.slice("words", F.col("pos") + 1, F.least(F.lit(WINDOW), F.size("raws"))).alias("iwords"), F.slice("raws", F.col("pos") + 1, WINDOW).alias("iraws"),
     )
-    rows = _windows(docs.select("doc_id", F.col(text_col).alias("text")), "text")
+    rows = _windows(docs.select("doc_id", F.col(text_col).alias("text")), "text", rules)
     own_words, own_raws = F.slice("words", F.col("pos") + 1, F.least(F.lit(WINDOW), F.size("raws"))), F.slice("raws", F.col("pos") + 1, WINDOW)
     if size <= BROADCAST_BYTES:
         found = rows.join(F.broadcast(items), F.col("hash") == F.col("ihash")).withColumns({"dwords": own_words, "draws": own_raws})
     else:
-        slim = rows.select("doc_id", "pos", "hash", own_words.alias("dwords"), own_raws.alias("draws"))
+        slim = rows.select("doc_id", "rule", "pos", "hash", own_words.alias("dwords"), own_raws.alias("draws"))
         found = slim.join(items.hint("merge"), F.col("hash") == F.col("ihash"))
     zipped = F.arrays_zip(F.col("iwords").alias("w"), F.col("iraws").alias("i"), F.col("draws").alias("d"))
     slots = F.transform(
         F.filter(zipped, lambda z: z["w"].startswith("<")),
         lambda z: F.struct(z["w"].alias("kind"), _bare(z["i"]).alias("item"), _bare(z["d"]).alias("doc")),
     )
-    matched = found.where("dwords = iwords").select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), "n_words", slots.alias("slots"))
+    matched = found.where("dwords = iwords AND rule = irule").select("doc_id", "item_id", "rule", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), "n_words", slots.alias("slots"))
     # one alignment has at most the windows of an item
-    aligned = matched.groupBy("doc_id", "item_id", "diagonal").agg(F.max("n_words").alias("n_words"), F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    aligned = matched.groupBy("doc_id", "item_id", "rule", "diagonal").agg(F.max("n_words").alias("n_words"), F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     kept = aligned.where(consistent).withColumn("verbatim", F.forall("slots", lambda s: s["item"] == s["doc"]))
     whole = kept.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("verbatim").alias("verbatim"))
@@ -106,8 +122,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold an item. Columns as in docs."""
-    return keep_ids(docs, leaks(docs, benchmark, text_col=text_col).select("doc_id").distinct(), "left_anti")
+    """docs without the documents that hold an item, in any letter case. Columns as in docs."""
+    return keep_ids(docs, leaks(docs, benchmark, text_col=text_col, any_case=True).select("doc_id").distinct(), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,19 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontamination.drop_contaminated(odd, bench).count() == odd.count() - 1
 
 
+def test_copies_in_another_case_are_dropped(spark):
+    german = "Die Straße führt von Hamburg nach Berlin und der alte Zug braucht dafür genau 4 Stunden am Morgen."
+    filler = "something else entirely is written here and goes on for a while."
+    item = ITEM.replace("60", "75")
+    rows = [(k, f"{filler} {t} {filler}") for k, t in enumerate([ITEM, ITEM.upper(), ITEM.lower(), ITEM.title(), item.upper(), german.upper(), german.lower()])]
+    rows += [(7, filler.upper()), (8, " ".join(ITEM.upper().split()[:8]))]
+    bench = spark.createDataFrame([(10, ITEM), (11, german)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {7, 8}
+    held = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, any_case=True).collect()}
+    assert held == {(0, 10), (1, 10), (2, 10), (3, 10), (4, 10), (5, 11), (6, 11)}
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 
 
