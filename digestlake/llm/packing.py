@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from digestlake.llm.common import prepared, written
+from digestlake.llm.common import prepared, quoted, released, slices, written
 from digestlake.llm.token_counts import tokenizer, vocabulary
 
 TOKENIZER = "word_bpe_49k.json"
-#: Runs of characters between white space of which a worker remembers the ids; beyond that it forgets and starts anew.
-MEMO_RUNS = 1_000_000
+#: Bytes that the runs of characters between white space and their ids take that a worker remembers; beyond that, and
+#: when a scan ends, it forgets and starts anew.
+MEMO_BYTES = 64 << 20
 #: Characters that str.split() takes as white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Punctuation that ends a run. After a letter or digit it is a pre-token of its own.
+#: Punctuation that ends a run. After one of _PLAIN it is a pre-token of its own. Other letters may be normalised to a
+#: letter and a mark, to which punctuation is joined.
 _STOPS = ".,!?;:"
+_PLAIN = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº" or c in "0123456789")
 _JOIN = 400
 _memo: dict[str, tuple[dict[str, bytes], np.ndarray]] = {}
 
@@ -69,7 +72,7 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them without added tokens.
 
     The pre-tokens of this vocabulary hold no white space, so a text's ids are those of its runs between white space;
-    each worker remembers the ids of runs. A run that ends in punctuation after a letter or digit is made of two. Texts
+    each worker remembers the ids of runs. A run that ends in punctuation after a plain letter or digit is made of two. Texts
     with a control character on which Python and the tokenizer disagree go to the tokenizer whole.
     """
     t = tokenizer(path)
@@ -79,7 +82,8 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         _memo[path] = ({}, last)
     runs, last = _memo[path]
-    if len(runs) > MEMO_RUNS:
+    # a run takes a string, its ids as bytes and a place in the dict: some 240 bytes
+    if len(runs) * 240 > MEMO_BYTES:
         runs.clear()
     split = [None if _ODD.search(x) else _lowered(x).split() for x in texts]
     found = [None if own is None else list(map(runs.get, own)) for own in split]
@@ -90,7 +94,7 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
             for r, g in zip(own, got):
                 if g is None and r not in ended and r not in learn:
                     core = r.rstrip(_STOPS) if r[-1] in _STOPS else r
-                    if len(core) < len(r) and core and core[-1].isalnum():
+                    if len(core) < len(r) and core and core[-1] in _PLAIN:
                         ended[r] = core
                         if core not in runs:
                             learn[core] = None
@@ -120,20 +124,21 @@ def pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
-            rows: list[tuple] = []
-            ids, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 256):
-                for doc_id, raw in zip(ids[i : i + 256], encoded(texts[i : i + 256], path)):
+            for at, n in slices(b.column(1)):
+                rows: list[tuple] = []
+                texts = [x or "" for x in b.column(1).slice(at, n).to_pylist()]
+                for doc_id, raw in zip(b.column(0).slice(at, n).to_pylist(), encoded(texts, path)):
                     raw += end
                     total = len(raw) // 4
                     for start in range(0, total, window):
                         part = raw[4 * start : 4 * (start + window)]
                         rows.append((doc_id, start, len(part) // 4, crc32(part), total))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+        _memo.clear()
+        released()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col(quoted(text_col)).alias("text")).mapInArrow(scan, schema)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -17,17 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestlake.llm.common import keep_ids, partitions, prepared, written
+from digestlake.llm.common import partitions, prepared, quoted, slices, with_row_keys, without_rows, written
 from digestlake.llm.components import components
-from digestlake.llm.jaccard import similar_groups
 
 #: Members of one band value that one task compares as a whole; above it the value is cut into tiles.
 TILE_ROWS = 16384
 #: Rows of a numpy tile.
 BLOCK = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: The white space of the contract: space and 0x09 to 0x0D.
-_SPACE = b" \t\n\x0b\x0c\r"
+_MIX = np.random.default_rng(64).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]:
@@ -53,18 +51,34 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     return out
 
 
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """words signed 64-bit integers for a set of 64-bit hashes: a bit is 1 if set in over half of them, after mixing."""
+    out = np.empty(words, dtype=np.int64)
+    for k in range(words):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 4096):
+            h = hashes[at : at + 4096]
+            if k:  # further words come from the same hashes, mixed anew
+                h = (h ^ (h >> np.uint64(29))) * _MIX[k]
+                h = (h ^ (h >> np.uint64(32))) * _MIX[k + 4]
+                h ^= h >> np.uint64(29)
+            ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, text_col: str = "text") -> DataFrame:
     """(doc_id, w0, w1, ...), a row per row of docs. Null text has no words."""
     prepared(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
+            rows = [fingerprint(t, shingle, words) for at, n in slices(b.column(1)) for t in b.column(1).slice(at, n).to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(words)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *(f"w{k}" for k in range(words))])
 
     schema = "doc_id long, " + ", ".join(f"w{k} long" for k in range(words))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(scan, schema)
 
 
 def exact_bands(radius: int) -> list[tuple[int, int, int]]:
@@ -160,9 +174,10 @@ def _compare(words: int, radius: int):
         small = (size > 1) & (size <= 32)
         of = np.repeat(np.arange(len(size)), size)
         rows = np.repeat(small, size)
+        pop = np.bitwise_count(w).sum(axis=1, dtype=np.int64)
         for step in range(1, int(size[small].max()) if small.any() else 0):
             # every pair of small tasks at this distance at once
-            left = np.nonzero((of[:-step] == of[step:]) & rows[:-step])[0]
+            left = np.nonzero((of[:-step] == of[step:]) & rows[:-step] & (np.abs(pop[:-step] - pop[step:]) <= radius))[0]
             right = left + step
             total = sum(np.bitwise_count(w[left, k] ^ w[right, k]).astype(np.int64) for k in range(words))
             ok = (total <= radius) & ((side[left] < 0) | (side[left] != side[right]))
@@ -199,13 +214,25 @@ def _compare(words: int, radius: int):
     return scan
 
 
-def link_edges(nodes: DataFrame, words: int, radius: int, bands: list[tuple[int, int, int]], tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (u, v) that connect nodes (node, w0, ...) with distinct fingerprints within radius bits, found in bands."""
+def link_edges(nodes: DataFrame, words: int, radius: int, bands: list[tuple[int, int, int]] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links (u, v) that connect nodes (node, w0, ...) with distinct fingerprints within radius bits.
+
+    Nodes are compared if they share a band of bits, or without bands one of the values in their array column keys.
+    """
     spark = prepared(nodes)
-    keys = F.array(*[F.shiftrightunsigned(f"w{k}", a).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(i << 56) for i, (k, a, n) in enumerate(bands)])
     cols = [f"w{k}" for k in range(words)]
+    if bands is None:
+        keys = F.col("keys")
+    else:
+        keys = F.array(*[F.shiftrightunsigned(f"w{k}", a).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(i << 56) for i, (k, a, n) in enumerate(bands)])
     pop = sum((F.bit_count(c) for c in cols[1:]), F.bit_count(cols[0]))
-    members = nodes.select("node", *cols, pop.alias("pop"), F.explode(keys).alias("key"))
+    if words == 1:
+        members = nodes.select("node", *cols, pop.alias("pop"), F.explode(keys).alias("key"))
+    else:  # long fingerprints are put to the members of shared values only
+        slim = nodes.select("node", F.explode(keys).alias("key"))
+        shared = slim.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        slim = written(slim.join(shared, "key", "left_semi"), "members")
+        members = slim.join(nodes.select("node", *cols, pop.alias("pop")), "node")
     # a row per band value and population count; only values that two fingerprints share are kept
     classes = members.groupBy("key", "pop").agg(F.count("*").alias("n"))
     sizes = classes.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
@@ -258,11 +285,17 @@ def near_groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int =
 def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
-    Shingles of five words and a Jaccard similarity of 0.8, verified; see jaccard. Bits of a fingerprint only estimate
-    it, so they do not decide here. Rows with a null doc_id stay.
+    Shingles of five words and a Jaccard similarity of 0.8. Fingerprints within a wide radius, compared in tiles, are
+    candidates, and shingles decide; see jaccard. Each row is judged for itself: of rows with the same doc_id in one
+    group one stays, and rows with the same doc_id in other groups are not touched. Rows with a null doc_id stay.
+    Columns as in docs, whatever their names.
     """
-    dropped = similar_groups(docs, shingle, least, text_col).where("component_id < doc_id").select("doc_id").distinct()
-    return keep_ids(docs, dropped, "left_anti")
+    from digestlake.llm.jaccard import near_rows
+
+    keyed, file, place = with_row_keys(docs)
+    rows = keyed.select(F.col(file).alias("f"), F.col(place).alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    dropped = near_rows(rows, shingle, least).where("not kept").select(F.col("f").alias(file), F.col("p").alias(place))
+    return without_rows(keyed, file, place, dropped)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

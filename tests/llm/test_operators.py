@@ -115,6 +115,47 @@ def test_copies_in_another_case_are_dropped(spark):
     assert held == {(0, 10), (1, 10), (2, 10), (3, 10), (4, 10), (5, 11), (6, 11)}
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom buys 12 pens. Mary pays 30 dollars. Bob eats 4 pies. Tom has 12 pens and Mary has none at all."
+    copy = "Jim buys 17 pens. Anna pays 55 dollars. Carl eats 9 pies. Jim has 17 pens and Anna has none at all."
+    twice = copy.replace("Carl", "Jim").replace("Jim has", "Anna has").replace("and Anna has", "and Jim has")
+    rows = [(1, f"Well then. {copy}"), (2, copy.upper()), (3, twice), (4, "Jim buys nothing. Anna pays nothing.")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # two names of the item for one of the document, and one for two: only what equals the item word for word counts
+    assert {(r.doc_id, r.verbatim) for r in decontamination.leaks(docs, bench).collect()} == {(1, False), (2, False)}
+
+
+def test_tables_of_numbers_are_no_template(spark):
+    rng = random.Random(3)
+    numbers = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    item, ones = numbers(60), "1 " * 60
+    bench = spark.createDataFrame([(1, item), (2, ones)], "item_id long, text string")
+    rows = [(1, numbers(20_000)), (2, f"{numbers(500)} {item} {numbers(500)}"), (3, "1 " * 3000), (4, f"a b c {item.replace(item.split()[30], '7')} d")]
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {(2, 1), (3, 2), (4, 1)}
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    schema = "doc_id long, text string, file_key string, __f string, `FILE_ROW` int, __own string, __n int, digest string, f int, p int"
+    more = ("k", "f", 1, "o", 2, "d", 3, 4)
+    good = "the small train goes to the old town with many people and comes back in the evening after the rain"
+    other = "another sentence tells of the sea and the ships that sail to the north before winter comes to them"
+    item = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, *more) for i, t in [(None, good), (None, None), (7, other), (7, "123"), (7, ITEM), (7, good + " again"), (8, good + " again")]], schema)
+    path = token_counts.vocabulary(language_id.VOCABULARY)
+    model = language_id.train(spark.createDataFrame([(i, good, "en") for i in range(8)] + [(i, "der die das und nicht mit einem Zug fahren wir nach Hause", "de") for i in range(8, 16)], "doc_id long, text string, lang string"), path)
+    assert set(model.languages) == {"en", "de"}
+    labelled = docs.selectExpr("*").withColumn("lang", __import__("pyspark").sql.functions.lit("en"))
+    kept = language_id.keep_identified(labelled, path)
+    assert kept.columns == labelled.columns and kept.count() == 5
+    kept = decontamination.drop_contaminated(docs, item)
+    assert kept.columns == docs.columns and sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, (tuple(r) for r in docs.where(f"text is null or text != '{ITEM}'").collect())))
+    for stage, n in ((exact_dedup.drop_copies, 6), (simhash.drop_near_copies, 6)):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and kept.count() == n
+        assert {tuple(r)[2:] for r in kept.collect()} == {more}
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -247,6 +288,17 @@ def test_packing(spark, docs, odd, empty, texts):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_ids_of_runs_that_end_in_punctuation():
+    path = token_counts.vocabulary(packing.TOKENIZER)
+    t = packing.tokenizer(path)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalnum()]
+    for stop in packing._STOPS:
+        texts = ["BELEDİYESİ" + stop, *("a" + c + stop for c in letters)]
+        want = t.encode_batch_fast(texts, add_special_tokens=False)
+        for k in range(0, len(texts), 20_000):
+            assert packing.encoded(texts[k : k + 20_000], path) == [np.array(e.ids, dtype="<u4").tobytes() for e in want[k : k + 20_000]]
+
+
 def test_best_fill_is_best():
     rng = random.Random(4)
     for _ in range(60):
@@ -332,6 +384,69 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(got).all()
 
 
+def test_long_words_in_blocks():
+    rng = np.random.default_rng(5)
+    pieces = sorted({"▁"} | {"".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(80)})
+    m = language_id.Model(["x", "y"], pieces, rng.random((len(pieces), 2)) / 50, np.array([1e-4, 2e-4]), np.array([0.5, 0.5]))
+    for n in (1, 5, 63, 64, 65, 700, 3001):
+        codes = np.frombuffer(("▁" + "".join(rng.choice(list("abcd"), n))).encode("utf-32-le"), dtype="<u4")
+        assert m._forward_long(codes) == pytest.approx(m._forward(codes.reshape(1, -1))[0])
+
+
+def test_a_megabyte_of_letters_is_scored(spark):
+    import time
+
+    path = token_counts.vocabulary(language_id.VOCABULARY)
+    rows = [(i, "one small word and another", "en" if i % 2 else "de") for i in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path)
+    word = "".join(random.Random(1).choice("abcdefgh") for _ in range(1_000_000))
+    began = time.time()
+    assert np.isfinite(model.word_scores([word])).all() and time.time() - began < 60
+
+
+def test_expected_counts_by_force():
+    pieces, word = ["a", "b", "ab", "▁a"], "abab"
+    prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.05], [0.15, 0.2]])
+    m = language_id.Model(["x", "y"], pieces, prob, np.array([0.01, 0.02]), np.array([0.5, 0.5]))
+
+    def cuts(text):
+        if not text:
+            yield []
+        for k in range(1, len(text) + 1):
+            if text[:k] in pieces or k == 1:
+                yield from ([text[:k], *rest] for rest in cuts(text[k:]))
+
+    want = np.zeros((4, 2))
+    for lang in (0, 1):
+        p = [(c, np.prod([prob[pieces.index(x), lang] if x in pieces else m.unknown[lang] for x in c])) for c in cuts("▁" + word)]
+        for c, q in p:
+            for x in c:
+                if x in pieces:
+                    want[pieces.index(x), lang] += 3 * q / sum(q for _, q in p)
+    assert m.expected(["abab"], np.array([[3.0, 3.0]])) == pytest.approx(want)
+
+
+def test_query_scores_by_force(spark, sf_dir, docs):
+    model = language_id.train(docs, token_counts.vocabulary(language_id.VOCABULARY))
+    table = [{p: model.prob[i, k] for i, p in enumerate(model.pieces)} for k in range(len(model.languages))]
+    got = {r.doc_id: r for r in language_id.op5(spark, sf_dir).collect()}
+    for r in sorted(docs.collect(), key=lambda r: len(r.text or ""))[:60]:
+        out = got[r.doc_id]
+        assert out.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (out.lang_pred, out.score) == ("und", 0.0)
+            continue
+        total = np.array([np.log(model.prior[k]) + sum(segmentations("▁" + w, table[k], model.unknown[k]) for w in re.findall(r"[^\W\d_]+", r.text.lower())) for k in range(len(table))])
+        assert out.lang_pred == model.languages[int(total.argmax())]
+        assert out.score == pytest.approx(1 / np.exp(total - total.max()).sum())
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"wort{i % 260} " * 3, f"l{i % 260}") for i in range(1040)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), token_counts.vocabulary(language_id.VOCABULARY), rounds=0)
+    assert len(model.languages) == 260
+
+
 def test_language_held_out_accuracy(spark, docs, odd, empty):
     out = language_id.op5(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -409,6 +524,25 @@ def test_exact_dedup(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(by)
 
 
+def test_retried_batch_gets_the_same_answer(spark, odd):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    batch = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    answer = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    rows = batch([(k, f"t{k % 7}") for k in range(40)] + [(None, "t3"), (None, "lone")])
+    first = answer(exact_dedup.exact_dedup(rows, index, batch="monday"))
+    assert sum("True" in r for r in first) == 8
+    exact_dedup.exact_dedup(batch([(3, "t3"), (99, "new")]), index, batch="tuesday").collect()
+    assert answer(exact_dedup.exact_dedup(rows, index, batch="monday")) == first
+    index.compact()
+    assert answer(exact_dedup.exact_dedup(rows, index, batch="monday")) == first
+    assert {r.kept for r in exact_dedup.exact_dedup(rows, index, batch="wednesday").collect()} == {False}
+    assert spark.table(index.table).count() == 9
+    index.drop()
+    before = spark.catalog.listTables()
+    exact_dedup.exact_dedup(odd).collect()
+    assert spark.catalog.listTables() == before
+
+
 def test_digest_index_keeps_what_it_knows(spark):
     index = exact_dedup.DigestIndex(spark, buckets=3)
     batch = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
@@ -545,12 +679,14 @@ def test_pipeline_stages(spark, docs, sf_dir, texts, tmp_path):
                 least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
             left = {i: left[i] for i in least.values()}
         elif k == 2:
-            prints = [(i, print_of(t, 4, 5)) for i, t in left.items()]
-            exact = groups_by_force(prints, 44)
-            got = {r.doc_id for r in now.collect()}
-            # bands may miss a pair near the radius, and find none beyond it
-            assert {i for i in left if exact[i] == i} <= got and len(got) <= 1.01 * len(set(exact.values())) + 1
-            left = {i: left[i] for i in got}
+            sets = {i: {" ".join(w[x : x + 5]) for x in range(max(1, len(w) - 4))} for i, t in left.items() for w in [re.sub("[A-Z]", lambda m: m.group().lower(), t).split()]}
+            label = {i: i for i in left}
+            for a, b in ((a, b) for a in sorted(sets) for b in sorted(sets) if a < b):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = {i: low if x == high else x for i, x in label.items()}
+            left = {i: t for i, t in left.items() if label[i] == i}
+            assert {r.doc_id for r in now.collect()} == set(left)
         elif k == 3:
             bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
             holds = {i for i, t in left.items() if any(b.text in t for b in bench)}
