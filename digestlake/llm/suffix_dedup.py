@@ -6,9 +6,11 @@ windows of a text fall into runs that share one (about 16 windows). The work has
 1. each block sends its distinct run hashes to buckets; a bucket tells the blocks which occur in two documents;
 2. each block cuts out the runs with such hashes (a segment: the bytes that a run's windows cover) and sends each
    distinct segment once, with the smallest doc_id that has it in this block;
-3. a bucket sorts the suffixes at the windows of its segments: multikey quicksort over 8-byte characters down to a
-   shallow depth, then blind tries for the groups that still agree. Suffixes that agree on 50 bytes get the smallest
-   doc_id of their group; blocks are told the runs of these per segment;
+3. a bucket sorts suffixes of its segments: multikey quicksort over 8-byte characters down to a shallow depth, then
+   blind tries for the groups that still agree. First the suffixes that cover each segment are sorted, which tells
+   equal segments from different blocks; where a hash has several distinct segments, the suffixes at all their windows
+   are. Suffixes that agree on 50 bytes get the smallest doc_id of their group; blocks are told the runs of these per
+   segment;
 4. each block marks the windows whose smallest doc_id is below their document's, and drops the bytes they cover.
 
 A passage that very many documents share costs a bucket one row per block. Segments of one hash are in one bucket, so
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestlake.llm.blocks import BLOCK_BYTES, block_id
-from digestlake.llm.common import file_system, partitions, prepared, scratch
+from digestlake.llm.common import file_system, partitions, prepared, quoted, scratch
 
 GRAM = 20
 SHALLOW = 16
 _SMALL = 512
+#: Suffixes whose bytes are gathered at once.
+_CHUNK = 1 << 16
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
 
 
@@ -182,34 +186,83 @@ class BlindTrie:
                 todo += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
+def _rows_equal(view: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), dtype=bool)
+    for k in range(0, len(a), _CHUNK):
+        out[k : k + _CHUNK] = (view[a[k : k + _CHUNK]] == view[b[k : k + _CHUNK]]).all(axis=1)
+    return out
+
+
 def suffix_classes(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix data[at:] among all, by its first length bytes; equal ones share a rank."""
+    """The rank of each suffix data[at:] among all, by its first length bytes; equal ones share a rank.
+
+    Groups that agree to the shallow depth are ordered by blind tries. Of suffixes that are wholly equal one goes into
+    the trie; they are told by a hash first and then byte for byte.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
-    keys = np.lib.stride_tricks.sliding_window_view(raw, SHALLOW)[at]
-    keys = np.ascontiguousarray(keys).view(">u8").astype(np.uint64).reshape(len(at), SHALLOW // 8)
+    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    keys = np.empty((len(at), SHALLOW // 8), dtype=np.uint64)
+    rest = np.zeros(len(at), dtype=np.uint64)
+    for k in range(0, len(at), _CHUNK):
+        some = np.zeros((min(_CHUNK, len(at) - k), -(-length // 8) * 8), dtype=np.uint8)
+        some[:, :length] = view[at[k : k + _CHUNK]]
+        chars = some.view(">u8")
+        keys[k : k + _CHUNK] = chars[:, : SHALLOW // 8]
+        for c in range(SHALLOW // 8, chars.shape[1]):
+            h = (rest[k : k + _CHUNK] ^ chars[:, c].astype(np.uint64)) * _P[0]
+            rest[k : k + _CHUNK] = h ^ (h >> np.uint64(31))
     order, starts = shallow_sort(keys)
-    out = np.empty(len(at), dtype=np.int64)
-    ends = np.append(starts[1:], len(at))
-    size = ends - starts
-    extra = {}
-    for g in np.nonzero(size > 1)[0].tolist():
+    size = np.diff(np.append(starts, len(at)))
+    group = np.repeat(np.arange(len(starts)), size)
+    by = np.lexsort((rest[order], group))
+    order = order[by]
+    same = (group[1:] == group[:-1]) & (rest[order[1:]] == rest[order[:-1]])
+    told = np.nonzero(same)[0]
+    same[told] = _rows_equal(view, at[order[told]], at[order[told + 1]])
+    # the first of each run of equal suffixes stands for them
+    first = np.nonzero(np.concatenate([[True], ~same]))[0]
+    leads = order[first]
+    in_group = np.zeros(len(first), dtype=np.int64)
+    of = group[first]
+    cuts = np.searchsorted(of, np.arange(len(starts) + 1))
+    number = np.ones(len(starts), dtype=np.int64)
+    for g in np.nonzero(np.diff(cuts) > 1)[0].tolist():
         trie = BlindTrie(length)
-        for m in order[starts[g] : ends[g]].tolist():
-            p = int(at[m])
+        for m in range(cuts[g], cuts[g + 1]):
+            p = int(at[leads[m]])
             trie.add(data[p : p + length], m)
-        extra[g] = list(trie.classes())
-    number = np.ones(len(starts), dtype=np.int64)
-    for g, found in extra.items():
+        found = list(trie.classes())
         number[g] = len(found)
-    rank = np.cumsum(number) - number
-    alone = size == 1
-    out[order[starts[alone]]] = rank[alone]
-    for g, found in extra.items():
         for k, members in enumerate(found):
-            out[members] = rank[g] + k
+            in_group[members] = k
+    rank = (np.cumsum(number) - number)[of] + in_group
+    out = np.empty(len(at), dtype=np.int64)
+    out[order] = np.repeat(rank, np.diff(np.append(first, len(order))))
     return out
 
 
+def segment_classes(data: bytes, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """A number per segment data[start : start + size], equal for equal segments, from the ranks of the suffixes that
+    cover it: those at every length bytes and the last one."""
+    many = -(-size // length)
+    of = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    rank = suffix_classes(data, start[of] + np.minimum(nth * length, size[of] - length), length)
+    code = np.unique(size, return_inverse=True)[1].astype(np.int64)
+    begin = np.cumsum(many) - many
+    left = np.arange(len(size))
+    k = 0
+    while len(left):
+        pair = np.stack([code[left], rank[begin[left] + k]], axis=1)
+        by = np.lexsort((pair[:, 1], pair[:, 0]))
+        new = np.concatenate([[True], (pair[by][1:] != pair[by][:-1]).any(axis=1)])
+        # sizes differ between codes, so finished segments and those that go on never get mixed
+        code[left[by]] = np.cumsum(new) - 1 + (int(code.max()) + 1 if len(left) < len(size) else 0)
+        k += 1
+        left = left[many[left] > k]
+    return np.unique(code, return_inverse=True)[1]
+
+
 # ---- steps over blocks ---------------------------------------------------------------------------------------------
 
 
@@ -341,37 +394,28 @@ def _segments(where: str, length: int, buckets: int):
 def _sorted(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Step 3 in a bucket: for each block's segments the smallest doc_id of each run of windows."""
-        uid: dict[bytes, int] = {}
-        hashes, least, own = [], [], []
-        for a, b, c, d, data in zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], pdf["data"]):
-            lengths, data, mine, at = np.frombuffer(d, "<i4").tolist(), bytes(data), [], 0
-            for v, first, n in zip(np.frombuffer(b, "<u8").tolist(), np.frombuffer(c, "<i8").tolist(), lengths):
-                seg = data[at : at + n]
-                at += n
-                i = uid.get(seg)
-                if i is None:
-                    i = uid[seg] = len(hashes)
-                    hashes.append(v)
-                    least.append(first)
-                elif first < least[i]:
-                    least[i] = first
-                mine.append(i)
-            own.append((np.frombuffer(a, "<i4"), np.array(mine, dtype=np.int64)))
-        segs, h, low = list(uid), np.array(hashes, dtype=np.uint64), np.array(least, dtype=np.int64)
-        windows = np.array([len(s) - length + 1 for s in segs], dtype=np.int64)
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        index = [np.frombuffer(a, "<i4") for a in pdf["a"]]
+        h = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["b"]])
+        least = np.concatenate([np.frombuffer(c, "<i8") for c in pdf["c"]])
+        size = np.concatenate([np.frombuffer(d, "<i4") for d in pdf["d"]]).astype(np.int64)
+        data = b"".join(bytes(x) for x in pdf["data"])
+        start = np.cumsum(size) - size
+        mine = segment_classes(data, start, size, length)
+        # each distinct segment: one place where it is, its hash, and the smallest doc_id that has it
+        _, at = np.unique(mine, return_index=True)
+        low = np.full(len(at), np.iinfo(np.int64).max)
+        np.minimum.at(low, mine, least)
+        windows = size[at] - length + 1
+        _, inverse, count = np.unique(h[at], return_inverse=True, return_counts=True)
         several = np.nonzero(count[inverse] > 1)[0]
         # runs of windows of each segment: first window, windows, smallest doc_id
         run_seg = [np.nonzero(count[inverse] == 1)[0]]
         run_first = [np.zeros(len(run_seg[0]), dtype=np.int64)]
         run_count, run_low = [windows[run_seg[0]]], [low[run_seg[0]]]
         if len(several):
-            data = b"".join(segs[i] for i in several.tolist())
-            size = np.array([len(segs[i]) for i in several.tolist()], dtype=np.int64)
             n = windows[several]
-            base = np.repeat(np.cumsum(size) - size, n)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            rank = suffix_classes(data, base + nth, length)
+            rank = suffix_classes(data, np.repeat(start[at[several]], n) + nth, length)
             smallest = np.full(rank.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(smallest, rank, np.repeat(low[several], n))
             value, seg = smallest[rank], np.repeat(several, n)
@@ -382,17 +426,33 @@ def _sorted(length: int):
             run_low.append(value[first])
         run_seg, run_first, run_count, run_low = (np.concatenate(x) for x in (run_seg, run_first, run_count, run_low))
         order = np.argsort(run_seg, kind="stable")
-        cuts = np.searchsorted(run_seg[order], np.arange(len(segs) + 1))
-        out = []
-        for block, (index, mine) in zip(pdf["block"], own):
-            many = cuts[mine + 1] - cuts[mine]
-            pick = order[np.repeat(cuts[mine], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            out.append((block, _blob(np.repeat(index, many), "<i4"), _blob(run_first[pick], "<i8"), _blob(run_count[pick], "<i8"), _blob(run_low[pick], "<i8")))
+        cuts = np.searchsorted(run_seg[order], np.arange(len(at) + 1))
+        out, done = [], 0
+        for block, own in zip(pdf["block"], index):
+            seg = mine[done : done + len(own)]
+            done += len(own)
+            many = cuts[seg + 1] - cuts[seg]
+            pick = order[np.repeat(cuts[seg], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            out.append((block, _blob(np.repeat(own, many), "<i4"), _blob(run_first[pick], "<i8"), _blob(run_count[pick], "<i8"), _blob(run_low[pick], "<i8")))
         return pd.DataFrame(out, columns=["block", "a", "b", "c", "d"])
 
     return run
 
 
+def _by_bucket(step):
+    """step over the rows of each bucket of a partition."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            every = pd.concat(held, ignore_index=True)
+            held.clear()
+            for _, own in every.groupby("bucket", sort=False):
+                yield step(own)
+
+    return run
+
+
 def kept_bytes(text: bytes, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[int, int, bytes]:
     """Removed bytes, maximal removed runs and what is left, for runs of windows to be removed."""
     edge = np.zeros(len(text) + 1, dtype=np.int64)
@@ -453,16 +513,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", bl
     # a block or bucket is few rows and much work: a count that is asked for is not merged into fewer tasks
     tasks = 2 * buckets
     where, places = scratch(spark, "suffix-blocks"), scratch(spark, "suffix-segments")
-    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("text"))
     stored.mapInArrow(_store(block_bytes), "block long, doc_id long, text binary").write.option("compression", "zstd").partitionBy("block").parquet(where)
     ids = spark.read.schema("doc_id long, text binary, block long").parquet(where).select("block").distinct()
     hashes = ids.repartition(tasks, "block").groupBy("block").applyInPandas(_hashes(where, length, buckets), "bucket int, block long, hashes binary")
-    shared = hashes.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_shared, "block long, hashes binary")
+    shared = hashes.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_shared), "block long, hashes binary")
     schema = "kind string, block long, bucket int, a binary, b binary, c binary, d binary, data binary"
     found = shared.repartition(tasks, "block").groupBy("block").applyInPandas(_segments(where, length, buckets), schema)
     found.write.option("compression", "zstd").partitionBy("kind", "block").parquet(places)
     segments = spark.read.schema(schema).parquet(places).where("kind = 'segments'").drop("kind")
-    answers = segments.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_sorted(length), "block long, a binary, b binary, c binary, d binary")
+    answers = segments.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_sorted(length)), "block long, a binary, b binary, c binary, d binary")
     none = F.lit(b"")
     every = answers.unionByName(ids.select("block", *[none.alias(c) for c in "abcd"]))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
