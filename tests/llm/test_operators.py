@@ -590,6 +590,36 @@ def test_trees_tell_proposals_apart():
     assert abs(p.mean() - truth.mean()) < 0.05
 
 
+def test_added_spans_by_kind():
+    model, limits = pii.trained()
+    rows = list(pii._sentences(123, 4000))
+    p = model.predict(np.array([pii.features(t, k, a, b) for t, k, a, b, _ in rows]))
+    for kind in pii.EVERY:
+        # what the base rules find is not left to the trees
+        own = [i for i, (t, k, a, b, _) in enumerate(rows) if k == kind and not any(x < b and y > a for s in force(t).values() for x, y in s)]
+        said, truth = np.array([p[i] >= limits[kind] for i in own]), np.array([rows[i][4] for i in own], dtype=bool)
+        assert (said & truth).sum() / said.sum() > 0.85 and (said & truth).sum() / truth.sum() > 0.6, kind
+
+
+def test_pii_query_adds_spans(spark):
+    """The base columns by force; secrets, which stand in the documents as token = "...", by their own pattern."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = {r.doc_id: r for r in pii.op8(spark, "/root/testdata/sf0.01").collect()}
+    assert set(out) == set(texts)
+    found = wanted = 0
+    for i, t in texts.items():
+        base, spans = force(t), out[i].spans.split(",")
+        assert [out[i].n_email, out[i].n_ip, out[i].n_card, out[i].n_phone] == [len(base[k]) for k in pii.KINDS]
+        assert out[i].base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {s for s in pii.joined(base).split(",") if s} <= set(spans)
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t):
+            wanted += 1
+            found += f"secret:{m.start(1)}:{m.end(1)}" in spans
+    added = sum(len([s for s in r.spans.split(",") if s]) for r in out.values()) - sum(len(force(t)[k]) for t in texts.values() for k in pii.KINDS)
+    assert wanted > 5 and found >= 0.95 * wanted and added <= 1.1 * wanted
+
+
 def test_find_pii(spark, odd, empty):
     docs = spark.createDataFrame([(1, PII), (2, "please call phone: 212-555-1234 today"), (3, "write jane at example dot com now"), (4, None), (5, "in 1999 and 2004")], "doc_id long, text string")
     out = {r.doc_id: r for r in pii.find_pii(docs).collect()}
@@ -638,6 +668,16 @@ def test_repeats_in_random_texts(spark):
     assert found_repeats(df, block_bytes=2000) == removed_by_force(pairs)
 
 
+def test_segment_classes():
+    rng = random.Random(8)
+    segs = [bytes([rng.choice(b"ab")]) * n for n in [rng.randrange(50, 260) for _ in range(300)]] * 2
+    segs += [(b"abcde" * 60)[i : i + n] for i in range(5) for n in (50, 70, 100, 101, 150, 199)] * 2
+    size = np.array([len(s) for s in segs])
+    got = suffix_dedup.segment_classes(b"".join(segs), np.cumsum(size) - size, size, 50).tolist()
+    known = {}
+    assert all(known.setdefault(s, k) == k for s, k in zip(segs, got)) and len(set(got)) == len(set(segs))
+
+
 def test_suffix_classes_sort():
     rng = random.Random(8)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"abab" * 100
@@ -661,6 +701,16 @@ def test_token_counts(spark, docs, odd, empty, texts):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_units_are_the_tokenizers_own():
+    path = token_counts.vocabulary(token_counts.TOKENIZER)
+    t = token_counts.tokenizer(path)
+    rng = random.Random(11)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab1 .,'\n\té漢!?-s\u2003\x1c") for _ in range(rng.randrange(50)))
+        want = sorted(text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text))
+        assert sorted(token_counts.units(text, None, t, {}).elements()) == want
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
