@@ -706,11 +706,19 @@ def test_units_are_the_tokenizers_own():
     t = token_counts.tokenizer(path)
     rng = random.Random(11)
     for _ in range(2000):
-        text = "".join(rng.choice("ab1 .,'\n\té漢!?-s\u2003\x1c") for _ in range(rng.randrange(50)))
+        text = "".join(rng.choice("ab1 .,'\n\té漢!?-stmd\u2003\x1c_²½ºß\x00\\\u0301") for _ in range(rng.randrange(50)))
         want = sorted(text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text))
         assert sorted(token_counts.units(text, None, t, {}).elements()) == want
 
 
+def test_early_letters_are_the_tokenizers():
+    t = token_counts.tokenizer(token_counts.vocabulary(token_counts.TOKENIZER))
+    for c in map(chr, range(0x250)):
+        for text in (f"a{c}b", f"1{c}2", f".{c}.", f" {c}", c):
+            want = [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
+            assert list(token_counts.units(text, None, t, {})) == list(dict.fromkeys(want)), repr(text)
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
