@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from digestlake.plans.workspace import checkpointed
+
 
 def roll_up(children: DataFrame, parent: str, digest: Column, size: Column) -> DataFrame:
     """(parent, digest, size): the hash of the sorted child digests, and the recursive count of entries below."""
@@ -40,8 +42,26 @@ def last_writer(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, order, first): whether each row is the first of its key."""
-    return rows.withColumn("first", F.col(order) == F.min(order).over(Window.partitionBy(key)))
+    """rows with first: whether each row is the first of its key. The minimum is a partial aggregate and joined back,
+    so a hot key is not gathered; null keys are one key."""
+    least = rows.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__least"))
+    joined = rows.join(least, rows[key].eqNullSafe(least["__key"]))
+    return joined.withColumn("first", F.col(order) == F.col("__least")).drop("__key", "__least")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in order, from 1. order must tell rows apart.
+
+    Rows are dealt to ranges of order, numbered inside each, and moved up by the counts of the ranges before: no task
+    sorts more than its range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = dealt.withColumn("__own", own).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
 
 
 def generation_gaps(runs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Reachability over link tables: closures, their status, paths, and chains.
 
 Each level is one join of the frontier to the links and one anti-join to what was seen; levels are checkpointed, so
-plans stay short and lost executors cost one level. Links are made distinct first, since many parents share children.
+plans stay short and lost executors cost one level. A level is made distinct, so links may repeat.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from digestlake.operators.folds import ancestors
 from digestlake.plans.workspace import checkpointed
 
 
@@ -53,7 +54,8 @@ def closure(links: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, l
     edges = links.select(F.col("src").alias("native_id"), "dst")
     if stop is not None:
         edges = edges.join(stop.select("native_id").distinct(), "native_id", "left_anti")
-    edges = checkpointed(edges.distinct())
+    # repeated links only repeat rows of a level, which is made distinct anyway
+    edges = checkpointed(edges)
     level = checkpointed(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     seen, at, total = Seen(level), 0, level.count()
     while depth is None or at < depth:
@@ -92,18 +94,40 @@ def closure_status(objects: DataFrame, links: DataFrame, seeds: DataFrame, label
     )
 
 
-def tree_paths(entries: DataFrame, roots: DataFrame, below: int = 32) -> DataFrame:
-    """(root, path, kind, digest, size) of every entry under roots (root, native_id), one row per path."""
+def tree_paths(entries: DataFrame, roots: DataFrame, below: int | None = None) -> DataFrame:
+    """(root, path, kind, digest, size) of every entry under roots (root, native_id), one row per path.
+
+    The walk ends when a level is empty. Entries deeper than below, if it is given, raise TraversalLimit. A tree that
+    holds itself has no end and needs below; content-addressed trees cannot.
+    """
     level = checkpointed(roots.select("root", F.lit(None).cast("string").alias("path"), F.col("native_id").alias("dir")))
-    out = None
-    for _ in range(below):
-        level = level.join(entries, "dir").select("root", F.concat_ws("/", "path", "name").alias("path"), "kind", "digest", "size")
-        level = checkpointed(level)
-        if level.isEmpty():
-            break
-        out = level if out is None else out.unionByName(level)
-        level = level.where("kind = 'd'").select("root", "path", F.col("digest").alias("dir"))
-    return out if out is not None else level
+    found, depth = None, 0
+    while True:
+        rows = checkpointed(level.join(entries, "dir").select("root", F.concat_ws("/", "path", "name").alias("path"), "kind", "digest", "size"))
+        if found is None:
+            found = Seen(rows)
+        elif not rows.isEmpty():
+            found.add(rows)
+        if rows.isEmpty():
+            return found.rows()
+        depth += 1
+        if below is not None and depth > below:
+            raise TraversalLimit(f"entries deeper than {below}")
+        level = rows.where("kind = 'd'").select("root", "path", F.col("digest").alias("dir"))
+
+
+def path_spines(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, path, depth, spine) of every entry under roots (root, native_id): spine are the digests from the root
+    down to the entry, which is what a proof of the path shows."""
+    paths = checkpointed(tree_paths(entries, roots))
+    above = F.posexplode(ancestors(F.col("path"))).alias("n", "above")
+    up = paths.select("root", "path", above).where("above != path")
+    own = paths.select("root", F.col("path").alias("above"), F.col("digest").alias("on_the_way"))
+    # at most as many as the path has parts
+    way = up.join(own, ["root", "above"]).groupBy("root", "path").agg(F.array_sort(F.collect_list(F.struct("n", "on_the_way"))).alias("way"))
+    joined = paths.join(way, ["root", "path"], "left").join(roots.select("root", "native_id"), "root")
+    middle = F.coalesce(F.transform("way", lambda w: w["on_the_way"]), F.array().cast("array<string>"))
+    return joined.select("root", "path", F.size(F.split("path", "/")).alias("depth"), F.concat(F.array("native_id"), middle, F.array("digest")).alias("spine"))
 
 
 def chase(refs: DataFrame, hops: int = 32) -> DataFrame:

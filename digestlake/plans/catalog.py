@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from digestlake.functions import deltas, hashing, proofs, text
-from digestlake.operators import collect, folds, graph, packs, scans, sync
+from digestlake.operators import collect, folds, graph, packs, pins, scans, sync
 from digestlake.plans.derive import Repo, with_derived
 from digestlake.sources import archives, git, nar
 
@@ -42,15 +42,15 @@ def region(k: int) -> str:
 
 def asked(r: Repo) -> DataFrame:
     """A request with an order, repeats, and keys that are not there."""
-    rows = r.orders.where("o_orderkey <= 30").select((F.col("o_orderkey") * 2).alias("ordinal"), F.sha2(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), 256).alias("native_id"))
+    rows = r.orders.select((F.col("o_orderkey") * 2).alias("ordinal"), F.sha2(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), 256).alias("native_id"))
     again = rows.select((F.col("ordinal") + 1).alias("ordinal"), "native_id")
     gone = rows.select((-F.col("ordinal")).alias("ordinal"), F.sha2("native_id", 256).alias("native_id"))
     return rows.unionByName(again).unionByName(gone)
 
 
-ASKED = """asked AS (SELECT o_orderkey * 2 AS ordinal, SHA(concat('order:', CAST(o_orderkey AS STRING))) AS native_id FROM orders WHERE o_orderkey <= 30
-  UNION ALL SELECT o_orderkey * 2 + 1, SHA(concat('order:', CAST(o_orderkey AS STRING))) FROM orders WHERE o_orderkey <= 30
-  UNION ALL SELECT -o_orderkey * 2, SHA(SHA(concat('order:', CAST(o_orderkey AS STRING)))) FROM orders WHERE o_orderkey <= 30)"""
+ASKED = """asked AS (SELECT o_orderkey * 2 AS ordinal, SHA(concat('order:', CAST(o_orderkey AS STRING))) AS native_id FROM orders
+  UNION ALL SELECT o_orderkey * 2 + 1, SHA(concat('order:', CAST(o_orderkey AS STRING))) FROM orders
+  UNION ALL SELECT -o_orderkey * 2, SHA(SHA(concat('order:', CAST(o_orderkey AS STRING)))) FROM orders)"""
 REACH = "reach AS (SELECT native_id FROM roots UNION SELECT links.dst FROM reach JOIN links ON links.src = reach.native_id)"
 MARK = """seed AS (SELECT native_id FROM roots UNION SELECT native_id FROM objects WHERE created_generation <= (SELECT max(generation) FROM pins WHERE scope = 'snapshot')
   UNION SELECT native_id FROM pins WHERE scope IN ('closures', 'object')),
@@ -188,10 +188,9 @@ def _(r):
     return scans.resolve_unique(r.objects, r.objects.where("kind = 'doc'").select(F.substring("payload", 1, 4).alias("oid")).distinct())
 
 
-@add("view_read_clamped", "SELECT doc_id, sha256(substring(text, 101, 50)) AS part FROM documents WHERE strlen(text) = length(text)")
+@add("view_read_clamped", "SELECT doc_id, sha256(unhex(substring(hex(encode(text)), 201, 100))) AS part FROM documents WHERE text IS NOT NULL")
 def _(r):
-    plain = r.documents.where(F.octet_length("text") == F.length("text"))
-    return plain.select("doc_id", F.sha2(scans.read_range(F.col("text"), 100, 50), 256).alias("part"))
+    return doc_bytes(r).select("doc_id", F.sha2(scans.read_range(F.col("bytes"), 100, 50), 256).alias("part"))
 
 
 @add("view_lookup_entries", f"SELECT name, kind, digest, size FROM entries WHERE dir = '{region(2)}'")
@@ -200,13 +199,13 @@ def _(r):
 
 
 @add("object_show", """SELECT o.native_id, o.payload, o.payload_size, count(l.dst) AS links, min(l.dst) AS first_link, o.validated FROM objects o LEFT JOIN links l ON o.native_id = l.src
-  WHERE o.kind = 'nation' GROUP BY o.native_id, o.payload, o.payload_size, o.validated""")
+  GROUP BY o.native_id, o.payload, o.payload_size, o.validated""")
 def _(r):
     links = r.links.groupBy(F.col("src").alias("native_id")).agg(F.count("*").alias("links"), F.min("dst").alias("first_link"))
-    return r.objects.where("kind = 'nation'").join(links, "native_id", "left").select("native_id", "payload", "payload_size", F.coalesce("links", F.lit(0)).alias("links"), "first_link", "validated")
+    return r.objects.join(links, "native_id", "left").select("native_id", "payload", "payload_size", F.coalesce("links", F.lit(0)).alias("links"), "first_link", "validated")
 
 
-@add("holds_inventory")
+@add("holds_inventory", """SELECT token, concat('{"scope":"', scope, '","generation":', CAST(generation AS STRING), ',"native_id":"', native_id, '"}') AS hold FROM pins""")
 def _(r):
     return r.pins.select("token", F.to_json(F.struct("scope", "generation", "native_id")).alias("hold"))
 
@@ -614,10 +613,9 @@ def _(r):
     return folds.reassemble(r.manifest).join(sizes, "payload").select("payload", "size", F.md5("bytes").alias("md5"), F.sha1("bytes").alias("sha1"))
 
 
-@add("canonical_order", "SELECT namespace, native_id, row_number() OVER (ORDER BY namespace, native_id) AS n FROM objects WHERE kind IN ('region', 'nation')")
+@add("canonical_order", "SELECT namespace, native_id, row_number() OVER (ORDER BY namespace, native_id) AS n FROM objects")
 def _(r):
-    few = r.objects.where("kind IN ('region', 'nation')")
-    return few.select("namespace", "native_id", F.row_number().over(Window.orderBy("namespace", "native_id")).cast("long").alias("n"))
+    return folds.numbered(r.objects.select("namespace", "native_id"), ["namespace", "native_id"], "n")
 
 
 @add("keyset_page", "SELECT native_id, payload FROM objects WHERE native_id > '80' ORDER BY native_id LIMIT 256")
@@ -692,10 +690,10 @@ def _(r):
     return collect.marked(r.objects, r.links, r.roots, r.pins)
 
 
-@add("tree_walk", """WITH RECURSIVE w AS (SELECT 'asia' AS root, name AS path, kind, digest FROM entries WHERE dir = (SELECT native_id FROM roots WHERE name = 'regions/ASIA')
-  UNION ALL SELECT w.root, concat(w.path, '/', e.name), e.kind, e.digest FROM w JOIN entries e ON w.digest = e.dir WHERE w.kind = 'd') SELECT path, kind, digest FROM w""")
+@add("tree_walk", """WITH RECURSIVE w AS (SELECT r.name AS root, e.name AS path, kind, digest FROM entries e JOIN roots r ON e.dir = r.native_id
+  UNION ALL SELECT w.root, concat(w.path, '/', e.name), e.kind, e.digest FROM w JOIN entries e ON w.digest = e.dir WHERE w.kind = 'd') SELECT root, path, kind, digest FROM w""")
 def _(r):
-    return graph.tree_paths(r.entries, r.roots.where("name = 'regions/ASIA'").select(F.lit("asia").alias("root"), "native_id")).select("path", "kind", "digest")
+    return graph.tree_paths(r.entries, r.roots.select(F.col("name").alias("root"), "native_id")).select("root", "path", "kind", "digest")
 
 
 @add("commit_closed_set", """WITH have AS (SELECT native_id FROM dst_objects UNION SELECT native_id FROM objects WHERE k % 2 = 0)
@@ -707,25 +705,33 @@ def _(r):
     return edges.join(have, edges["dst"] == have["native_id"], "left_anti").select(F.col("src").alias("from_id"), F.col("dst").alias("missing"))
 
 
-_ORDERS_LINKS = "(SELECT o_orderkey AS src, o_orderkey - 1 AS dst FROM orders WHERE o_orderkey > 1 UNION ALL SELECT o_orderkey, o_orderkey - 2 FROM orders WHERE o_orderkey % 5 = 0)"
+# histories of twenty commits, with merges
+_ORDERS_LINKS = "(SELECT o_orderkey AS src, o_orderkey - 1 AS dst FROM orders WHERE o_orderkey % 20 <> 1 UNION ALL SELECT o_orderkey, o_orderkey - 2 FROM orders WHERE o_orderkey % 5 = 0)"
+_TIPS = "(SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT dst FROM e))"
 
 
 def commit_graph(r: Repo) -> DataFrame:
     k = F.col("o_orderkey")
-    return r.orders.where("o_orderkey > 1").select(k.alias("src"), (k - 1).alias("dst")).unionAll(r.orders.where("o_orderkey % 5 = 0").select(k.alias("src"), (k - 2).alias("dst")))
+    return r.orders.where("o_orderkey % 20 != 1").select(k.alias("src"), (k - 1).alias("dst")).unionAll(r.orders.where("o_orderkey % 5 = 0").select(k.alias("src"), (k - 2).alias("dst")))
 
 
-@add("git_fetch_depth", f"""WITH RECURSIVE e AS (SELECT * FROM {_ORDERS_LINKS}), w AS (SELECT CAST(100 AS BIGINT) AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 6)
+def tips(r: Repo) -> DataFrame:
+    """The commits that no commit has as a parent."""
+    ids = r.orders.select(F.col("o_orderkey").alias("native_id"))
+    return ids.join(commit_graph(r).select(F.col("dst").alias("native_id")), "native_id", "left_anti")
+
+
+@add("git_fetch_depth", f"""WITH RECURSIVE e AS (SELECT * FROM {_ORDERS_LINKS}), w AS (SELECT id, 0 AS depth FROM {_TIPS} UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 6)
   SELECT id AS native_id, min(depth) AS depth FROM w GROUP BY id""")
 def _(r):
-    return graph.fetch_selection(commit_graph(r), r.orders.where("o_orderkey = 100").select(F.col("o_orderkey").alias("native_id")), r.orders.where("o_orderkey < 0").select(F.col("o_orderkey").alias("native_id")), 6).select("native_id", "depth")
+    return graph.fetch_selection(commit_graph(r), tips(r), tips(r).where("false"), 6).select("native_id", "depth")
 
 
-@add("git_fetch_have", f"""WITH RECURSIVE e AS (SELECT * FROM {_ORDERS_LINKS}), h AS (SELECT CAST(6 AS BIGINT) AS id UNION SELECT e.dst FROM h JOIN e ON e.src = h.id),
-  w AS (SELECT CAST(20 AS BIGINT) AS id UNION SELECT e.dst FROM w JOIN e ON e.src = w.id WHERE w.id NOT IN (SELECT id FROM h)) SELECT id AS native_id FROM w WHERE id NOT IN (SELECT id FROM h)""")
+@add("git_fetch_have", f"""WITH RECURSIVE e AS (SELECT * FROM {_ORDERS_LINKS}), h AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT e.dst FROM h JOIN e ON e.src = h.id),
+  w AS (SELECT id FROM {_TIPS} UNION SELECT e.dst FROM w JOIN e ON e.src = w.id WHERE w.id NOT IN (SELECT id FROM h)) SELECT id AS native_id FROM w WHERE id NOT IN (SELECT id FROM h)""")
 def _(r):
-    at = lambda k: r.orders.where(f"o_orderkey = {k}").select(F.col("o_orderkey").alias("native_id"))
-    return graph.fetch_selection(commit_graph(r), at(20), at(6)).select("native_id")
+    have = r.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("native_id"))
+    return graph.fetch_selection(commit_graph(r), tips(r), have).select("native_id")
 
 
 @add("transfer_recursive_upgrade", "SELECT user_id AS key, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 1 AS recursive FROM events GROUP BY user_id")
@@ -770,6 +776,7 @@ _PLAN = f"""{MARK}, live AS (SELECT payload FROM objects WHERE native_id IN (SEL
 
 
 def gc(r: Repo) -> dict[str, DataFrame]:
+    r.settle("objects", "links", "manifest")
     return collect.gc_plan(r.objects, collect.marked(r.objects, r.links, r.roots, r.pins), r.manifest, r.objects.where("kind = 'doc' AND k % 50 = 0"))
 
 
@@ -804,21 +811,37 @@ def _(r):
     return r.objects.join(collect.marked(r.objects, r.links, r.roots, r.pins), "native_id", "left_semi").select("native_id", "payload")
 
 
-_FSCK = f"""WITH RECURSIVE {REACH}, o AS (SELECT *, CASE WHEN native_id IN (SELECT native_id FROM reach) THEN 'Corrupt' ELSE 'Collectible' END AS d, CASE WHEN k % 17 = 0 THEN SHA(payload) ELSE payload END AS payload_now FROM dst_objects),
+# what is stored for each chunk is hashed again, and a payload is as bad as the worst of its chunks
+_HASHED = """status AS (SELECT m.payload, CASE max(CASE WHEN f.chunk IS NOT NULL THEN 3 WHEN s.chunk IS NULL THEN 2 WHEN SHA(s.bytes) <> m.chunk OR BLEN(s.bytes) <> m.size THEN 1 ELSE 0 END)
+  WHEN 3 THEN 'Unavailable' WHEN 2 THEN 'Missing' WHEN 1 THEN 'Corrupt' ELSE 'Healthy' END AS status
+  FROM manifest m LEFT JOIN stored_chunks s ON m.chunk = s.chunk LEFT JOIN offline f ON m.chunk = f.chunk GROUP BY m.payload)"""
+
+
+def stored(r: Repo) -> DataFrame:
+    return collect.stored_status(r.manifest, r.stored_chunks, r.offline)
+
+
+def replica(r: Repo) -> DataFrame:
+    return collect.stored_status(r.manifest, r.replica_chunks)
+
+
+_FSCK = f"""WITH RECURSIVE {REACH}, o AS (SELECT *, CASE WHEN native_id IN (SELECT native_id FROM reach) THEN 'Corrupt' ELSE 'Collectible' END AS d FROM dst_objects), {_HASHED},
   there AS (SELECT DISTINCT payload FROM objects WHERE k % 11 <> 0), f AS (
   SELECT 'MissingRecord' AS kind, 'Corrupt' AS disposition, native_id AS id FROM reach WHERE native_id NOT IN (SELECT native_id FROM o)
   UNION ALL SELECT 'MissingRecord', 'Collectible', dst FROM (SELECT DISTINCT dst FROM links WHERE src IN (SELECT native_id FROM o WHERE d = 'Collectible')) WHERE dst NOT IN (SELECT native_id FROM o) AND dst NOT IN (SELECT native_id FROM reach)
   UNION ALL SELECT 'UnrootedObject', 'Collectible', native_id FROM o WHERE d = 'Collectible'
   UNION ALL SELECT 'UnsupportedNamespace', 'Unchecked', native_id FROM o WHERE namespace = 'doc.v1'
   UNION ALL SELECT 'MissingPayload', d, native_id FROM o WHERE payload NOT IN (SELECT payload FROM there)
-  UNION ALL SELECT 'InvalidObject', d, native_id FROM o WHERE payload_now <> payload
+  UNION ALL SELECT 'InvalidObject', d, native_id FROM o WHERE payload IN (SELECT payload FROM status WHERE status = 'Corrupt')
+  UNION ALL SELECT 'StateEncoding', 'Corrupt', name FROM root_states WHERE NOT coalesce(regexp_matches(state, '^r1 [0-9a-f]{{64}} [0-9a-f]{{8}}$') AND substring(SHA(substring(state, 4, 64)), 1, 8) = substring(state, 69, 8), false)
   UNION ALL SELECT 'UnreferencedPayload', 'Collectible', payload FROM there WHERE payload NOT IN (SELECT payload FROM o)
   UNION ALL SELECT 'UnreferencedChunk', 'Collectible', chunk FROM pack_entries WHERE chunk NOT IN (SELECT chunk FROM manifest WHERE payload IN (SELECT payload FROM o)))"""
 
 
 def audit(r: Repo) -> DataFrame:
-    now = F.when(F.col("k") % 17 == 0, F.sha2("payload", 256)).otherwise(F.col("payload"))
-    return collect.fsck(r.dst_objects.withColumn("payload_now", now), r.links, r.roots, r.objects.where("k % 11 != 0").select("payload"), r.manifest, r.pack_entries, NAMESPACES)
+    read = stored(r)
+    r.settle("objects", "links", "pack_entries", "manifest")
+    return collect.fsck(r.dst_objects, r.links, r.roots, r.objects.where("k % 11 != 0").select("payload"), r.manifest, r.pack_entries, NAMESPACES, read, r.root_states)
 
 
 @add("fsck_findings", f"{_FSCK} SELECT kind, disposition, id FROM f")
@@ -837,32 +860,23 @@ def _(r):
     return r.objects.groupBy("kind", "namespace").agg(F.count("*").alias("objects"), F.count(F.when(F.col("native_id") == again, 1)).alias("good")).select("kind", "objects", "good", F.col("namespace").isin(NAMESPACES).alias("supported"))
 
 
-_STORED = """(SELECT payload, CASE WHEN k % 6 = 0 THEN 'Missing' WHEN k % 6 = 1 AND k % 4 = 1 THEN 'Corrupt' WHEN k % 10 = 3 THEN 'Unavailable' ELSE 'Healthy' END AS status FROM objects WHERE kind = 'order')"""
-
-
-def stored(r: Repo) -> DataFrame:
-    k = F.col("k")
-    status = F.when(k % 6 == 0, "Missing").when((k % 6 == 1) & (k % 4 == 1), "Corrupt").when(k % 10 == 3, "Unavailable").otherwise("Healthy")
-    return r.objects.where("kind = 'order'").groupBy("payload").agg(F.min(status).alias("status"))
-
-
-@add("stored_status", f"SELECT payload, min(status) AS status FROM {_STORED} GROUP BY payload")
+@add("stored_status", f"WITH {_HASHED} SELECT payload, status FROM status")
 def _(r):
     return stored(r)
 
 
-_REPAIR = f"""SELECT s.payload, s.status, CASE WHEN s.status = 'Healthy' THEN 'Count' WHEN s.status <> 'Unavailable' AND d.payload IS NOT NULL THEN 'Planned' ELSE 'Finding' END AS action
-  FROM (SELECT payload, min(status) AS status FROM {_STORED} GROUP BY payload) s LEFT JOIN (SELECT DISTINCT payload FROM dst_objects) d ON s.payload = d.payload"""
+_REPAIR = f"""WITH {_HASHED}, other AS (SELECT m.payload, min(CAST(SHA(s.bytes) = m.chunk AND BLEN(s.bytes) = m.size AS INTEGER)) = 1 AS healthy FROM manifest m JOIN replica_chunks s ON m.chunk = s.chunk GROUP BY m.payload),
+  plan AS (SELECT s.payload, s.status, CASE WHEN s.status = 'Healthy' THEN 'Count' WHEN s.status <> 'Unavailable' AND o.healthy THEN 'Planned' ELSE 'Finding' END AS action FROM status s LEFT JOIN other o ON s.payload = o.payload)"""
 
 
-@add("repair_plan", _REPAIR)
+@add("repair_plan", f"{_REPAIR} SELECT payload, status, action FROM plan")
 def _(r):
-    return collect.repair_plan(stored(r), r.dst_objects.select("payload", F.lit("Healthy").alias("status")).distinct())
+    return collect.repair_plan(stored(r), replica(r))
 
 
-@add("self_repair", f"SELECT payload, status, CASE action WHEN 'Count' THEN 'ReadNear' WHEN 'Planned' THEN CASE WHEN status = 'Missing' THEN 'ReadFar' ELSE 'RepairFromFar' END ELSE 'Error' END AS action FROM ({_REPAIR})")
+@add("self_repair", f"{_REPAIR} SELECT payload, status, CASE action WHEN 'Count' THEN 'ReadNear' WHEN 'Planned' THEN CASE WHEN status = 'Missing' THEN 'ReadFar' ELSE 'RepairFromFar' END ELSE 'Error' END AS action FROM plan")
 def _(r):
-    plan = collect.repair_plan(stored(r), r.dst_objects.select("payload", F.lit("Healthy").alias("status")).distinct())
+    plan = collect.repair_plan(stored(r), replica(r))
     missing = F.col("status") == "Missing"
     return plan.select("payload", "status", F.when(F.col("action") == "Count", "ReadNear").when((F.col("action") == "Planned") & missing, "ReadFar").when(F.col("action") == "Planned", "RepairFromFar").otherwise("Error").alias("action"))
 
@@ -876,7 +890,7 @@ def _(r):
 
 def checks(r: Repo) -> DataFrame:
     """What a caller thinks the roots are: true but for absent names, and stale ones."""
-    rows = r.roots.withColumn("index", F.row_number().over(Window.orderBy("name")))
+    rows = folds.numbered(r.roots, ["name"], "index")
     return rows.select("index", "name", F.when(F.col("index") % 4 == 0, F.lit(None)).otherwise(F.col("native_id")).alias("expected"))
 
 
@@ -932,15 +946,31 @@ def _(r):
     return rows.select("doc_id", F.sha2(text.patched(F.col("bytes"), 10, F.lit(b"PATCHED")), 256).alias("payload"))
 
 
-@add("stage_alias", "SELECT SHA(concat('alias:', native_id)) AS native_id, payload, payload_size FROM objects WHERE kind = 'nation'")
+@add("stage_alias", "SELECT SHA(concat('alias:', native_id)) AS native_id, payload, payload_size FROM objects")
 def _(r):
-    return r.objects.where("kind = 'nation'").select(F.sha2(F.concat(F.lit("alias:"), F.col("native_id")), 256).alias("native_id"), "payload", "payload_size")
+    return r.objects.select(F.sha2(F.concat(F.lit("alias:"), F.col("native_id")), 256).alias("native_id"), "payload", "payload_size")
 
 
-@add("publish_variants", """SELECT native_id, min(namespace) AS namespace, count(*) FILTER (WHERE rooted) AS roots FROM (SELECT o.native_id, o.namespace, r.name IS NOT NULL AS rooted FROM objects o LEFT JOIN roots r ON o.native_id = r.native_id WHERE o.kind IN ('region', 'doc')) GROUP BY native_id""")
+@add("publish_variants", """SELECT native_id, min(namespace) AS namespace, count(*) FILTER (WHERE rooted) AS roots FROM (SELECT o.native_id, o.namespace, r.name IS NOT NULL AS rooted FROM objects o LEFT JOIN roots r ON o.native_id = r.native_id) GROUP BY native_id""")
 def _(r):
     named = r.roots.groupBy("native_id").agg(F.count("*").alias("n"))
-    return r.objects.where("kind IN ('region', 'doc')").join(named, "native_id", "left").select("native_id", "namespace", F.coalesce("n", F.lit(0)).alias("roots"))
+    return r.objects.join(named, "native_id", "left").select("native_id", "namespace", F.coalesce("n", F.lit(0)).alias("roots"))
+
+
+_PIN_OPS = """(SELECT user_id AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'claim' ELSE 'release' END AS op,
+  CASE WHEN event_id % 4 = 0 THEN event_id % 3 END AS expected FROM events)"""
+
+
+@add("pin_ledger", f"""WITH RECURSIVE o AS (SELECT * FROM {_PIN_OPS}), l AS (SELECT DISTINCT token, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS revision, 'free' AS state, CAST(0 AS BIGINT) AS refused FROM o
+  UNION ALL SELECT token, seq, revision + CAST(ok AS BIGINT), CASE WHEN NOT ok THEN state WHEN op = 'add' THEN 'held' WHEN op = 'claim' THEN 'claimed' ELSE 'free' END, refused + 1 - CAST(ok AS BIGINT)
+  FROM (SELECT l.token, o.seq, l.revision, l.state, l.refused, o.op, coalesce(o.expected = l.revision, true) AND CASE o.op WHEN 'add' THEN l.state = 'free' WHEN 'claim' THEN l.state = 'held' ELSE l.state <> 'free' END AS ok
+        FROM l JOIN o ON o.token = l.token AND o.seq = l.seq + 1)), n AS (SELECT token, max(seq) AS seq FROM o GROUP BY token)
+  SELECT l.token, l.revision, l.state, l.refused FROM l JOIN n USING (token, seq)""")
+def _(r):
+    id_ = F.col("event_id")
+    op = F.when(id_ % 3 == 0, "add").when(id_ % 3 == 1, "claim").otherwise("release")
+    ops = r.events.select(F.col("user_id").alias("token"), F.struct("ts", "event_id").alias("at"), op.alias("op"), F.when(id_ % 4 == 0, id_ % 3).alias("expected"))
+    return pins.ledger(ops)
 
 
 @add("archive_root_policy", "SELECT r.name, CASE WHEN d.name IS NULL THEN 'Insert' WHEN d.native_id = r.native_id THEN 'Same' ELSE 'Conflict' END AS absent_policy, d.name IS NULL OR d.native_id = r.native_id AS replace_ok FROM roots r LEFT JOIN dst_roots d ON r.name = d.name")
@@ -951,10 +981,10 @@ def _(r):
     return joined.select("name", F.when(F.col("now").isNull(), "Insert").when(same, "Same").otherwise("Conflict").alias("absent_policy"), (F.col("now").isNull() | same).alias("replace_ok"))
 
 
-@add("log_gc", "SELECT DISTINCT pack FROM pack_entries WHERE pack NOT IN (SELECT substring(chunk, 1, 2) FROM manifest WHERE payload IN (SELECT payload FROM dst_objects WHERE k < 40))")
+@add("log_gc", "SELECT DISTINCT substring(chunk, 1, 4) AS log FROM pack_entries WHERE substring(chunk, 1, 4) NOT IN (SELECT substring(chunk, 1, 4) FROM manifest WHERE payload IN (SELECT payload FROM dst_objects))")
 def _(r):
-    used = r.manifest.join(r.dst_objects.where("k < 40"), "payload", "left_semi").select(F.substring("chunk", 1, 2).alias("pack"))
-    return r.pack_entries.select("pack").distinct().join(used, "pack", "left_anti")
+    used = r.manifest.join(r.dst_objects, "payload", "left_semi").select(F.substring("chunk", 1, 4).alias("log")).distinct()
+    return r.pack_entries.select(F.substring("chunk", 1, 4).alias("log")).distinct().join(used, "log", "left_anti")
 
 
 # ---- dedup, ranges, transfers --------------------------------------------------------------------------------------
@@ -1069,10 +1099,10 @@ def _(r):
     return sync.transfer_plan(r.objects, r.links, r.dst_objects, region_roots(r), reuse=True)
 
 
-@add("transfer_by_path", """WITH RECURSIVE s AS (SELECT e2.digest AS native_id FROM entries e1 JOIN entries e2 ON e2.dir = e1.digest WHERE e1.dir = (SELECT native_id FROM roots WHERE name = 'regions/ASIA') AND e2.name LIKE 'customer-1%'),
+@add("transfer_by_path", """WITH RECURSIVE s AS (SELECT e2.digest AS native_id FROM entries e1 JOIN entries e2 ON e2.dir = e1.digest WHERE e1.dir IN (SELECT native_id FROM roots) AND e2.name LIKE 'customer-1%'),
   c AS (SELECT native_id FROM s UNION SELECT links.dst FROM c JOIN links ON links.src = c.native_id) SELECT native_id FROM c""")
 def _(r):
-    one = r.entries.join(r.roots.where("name = 'regions/ASIA'").select(F.col("native_id").alias("dir")), "dir").select(F.col("digest").alias("dir"))
+    one = r.entries.join(r.roots.select(F.col("native_id").alias("dir")).distinct(), "dir").select(F.col("digest").alias("dir"))
     two = r.entries.join(one, "dir").where("name LIKE 'customer-1%'").select(F.col("digest").alias("native_id"))
     return graph.closure(r.links, two).select("native_id")
 
@@ -1105,13 +1135,12 @@ def _(r):
     return sync.batches(tree(r.objects).select("namespace", "native_id", "payload_size"), "namespace", "native_id", "payload_size", 4096, 256)
 
 
-@add("path_proof", """WITH RECURSIVE w AS (SELECT name AS path, digest, 1 AS depth FROM entries WHERE dir = (SELECT native_id FROM roots WHERE name = 'regions/ASIA')
-  UNION ALL SELECT concat(w.path, '/', e.name), e.digest, depth + 1 FROM w JOIN entries e ON w.digest = e.dir WHERE depth < 2)
-  SELECT depth, count(*) AS nodes, min(path) AS first_path FROM w GROUP BY depth""")
+@add("path_proof", """WITH RECURSIVE w AS (SELECT r.name AS root, e.name AS path, kind, digest, 1 AS depth, concat(r.native_id, ',', digest) AS spine FROM entries e JOIN roots r ON e.dir = r.native_id
+  UNION ALL SELECT w.root, concat(w.path, '/', e.name), e.kind, e.digest, depth + 1, concat(spine, ',', e.digest) FROM w JOIN entries e ON w.digest = e.dir WHERE w.kind = 'd')
+  SELECT root, path, depth, sha256(spine) AS spine FROM w""")
 def _(r):
-    top = r.roots.where("name = 'regions/ASIA'").select(F.lit("asia").alias("root"), "native_id")
-    paths = graph.tree_paths(r.entries, top, 2).withColumn("depth", F.size(F.split("path", "/")))
-    return paths.groupBy("depth").agg(F.count("*").alias("nodes"), F.min("path").alias("first_path"))
+    spines = graph.path_spines(r.entries, r.roots.select(F.col("name").alias("root"), "native_id"))
+    return spines.select("root", "path", "depth", F.sha2(F.array_join("spine", ","), 256).alias("spine"))
 
 
 @add("transfer_hold_scope", "SELECT native_id FROM roots WHERE name LIKE 'regions/%' UNION SELECT native_id FROM objects WHERE created_generation <= 1")

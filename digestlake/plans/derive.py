@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from digestlake.plans.workspace import checkpointed
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 DERIVED: dict[str, str] = {
@@ -43,6 +45,15 @@ DERIVED: dict[str, str] = {
     "manifest": """
         SELECT payload, seq, SHA(substring(body, seq * 256 + 1, 256)) AS chunk, CAST(BLEN(substring(body, seq * 256 + 1, 256)) AS BIGINT) AS size, substring(body, seq * 256 + 1, 256) AS bytes
         FROM (SELECT SHA(text) AS payload, text AS body, SEQ((greatest(length(text), 1) - 1) DIV 256) AS seq FROM (SELECT DISTINCT text FROM documents) AS t) AS s""",
+    "stored_chunks": """
+        SELECT chunk, CASE WHEN substring(chunk, 3, 2) = '0a' THEN concat('~', substring(bytes, 2)) WHEN substring(chunk, 3, 2) = '0b' THEN concat(bytes, '~') ELSE bytes END AS bytes
+        FROM (SELECT chunk, min(bytes) AS bytes FROM manifest GROUP BY chunk) AS m WHERE substring(chunk, 5, 2) <> 'c0'""",
+    "replica_chunks": "SELECT chunk, CASE WHEN substring(chunk, 7, 2) = '01' THEN concat('~', bytes) ELSE bytes END AS bytes FROM (SELECT chunk, min(bytes) AS bytes FROM manifest GROUP BY chunk) AS m",
+    "offline": "SELECT DISTINCT chunk FROM manifest WHERE substring(chunk, 1, 2) = '7f'",
+    "root_states": """
+        SELECT name, CASE WHEN BLEN(name) % 7 = 0 THEN substring(concat('r1 ', native_id, ' ', substring(SHA(native_id), 1, 8)), 1, 40)
+                          WHEN BLEN(name) % 11 = 0 THEN concat('r1 ', SHA(native_id), ' ', substring(SHA(native_id), 1, 8))
+                          ELSE concat('r1 ', native_id, ' ', substring(SHA(native_id), 1, 8)) END AS state FROM roots""",
     "pack_entries": """
         SELECT substring(chunk, 1, 2) AS pack, chunk, max(size) AS raw_len, CAST(floor(max(size) / 2) AS BIGINT) + 16 AS framed_len, substring(chunk, 64, 1) IN ('0', '1', '2', '3', '4', '5', '6') AS dead
         FROM manifest GROUP BY chunk""",
@@ -55,7 +66,7 @@ DERIVED: dict[str, str] = {
     "pins": """
         SELECT concat('pin', CAST(user_id AS STRING)) AS token, CASE user_id % 4 WHEN 0 THEN 'snapshot' WHEN 1 THEN 'closures' WHEN 2 THEN 'object' ELSE 'blob' END AS scope,
                user_id % 2 AS generation, SHA(concat('order:', CAST(user_id AS STRING))) AS native_id
-        FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40) AS u""",
+        FROM (SELECT DISTINCT user_id FROM events) AS u""",
     "cached": "SELECT CAST(p_size AS BIGINT) AS device, p_partkey AS inode, CAST(floor(p_retailprice) AS BIGINT) AS size, p_partkey * 10 AS mtime, p_partkey * 10 AS ctime, SHA(p_name) AS blob FROM part",
     "seen": "SELECT device, inode, size, mtime + CASE WHEN inode % 10 = 0 THEN 1 ELSE 0 END AS mtime, ctime FROM cached WHERE inode % 4 <> 0",
     "runs": "SELECT user_id AS key, event_id % 5 AS generation, ts, event_id, event_type AS value FROM events",
@@ -108,7 +119,15 @@ class Repo:
     """The derived tables as DataFrames, made when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made, self._settled = spark, sf_dir, {}, set()
+
+    def settle(self, *names: str) -> Repo:
+        """This repository with derived tables written once, for queries that read them often. Chunk bytes stay behind."""
+        for name in names:
+            if name not in self._settled:
+                self._settled.add(name)
+                self._made[name] = checkpointed(getattr(self, name).drop("bytes"))
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in (*BASE, *DERIVED):

@@ -61,3 +61,68 @@ def test_a_late_publication_tries_again(spark, tmp_path, stage, monkeypatch):
     done = publish(store, *stage([("c", "3")], [], [("mine", "c")]))
     assert done["generation"] == 3
     assert {r.name for r in store.read("roots").collect()} == {"top", "other", "mine"}
+
+
+def test_transfer_end_to_end(spark, tmp_path):
+    import hashlib
+
+    from digestlake.streaming.transfer import transfer
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    frame = spark.createDataFrame
+    body = {k: f"body of {k}".encode() for k in "abcdx"}
+
+    def commit(store, bodies, links, roots):
+        head = store.head()
+        store.commit(
+            head["revision"],
+            objects=frame([(k, sha(body[k])) for k in body], "native_id string, payload string"),
+            links=frame(links, "src string, dst string"),
+            roots=frame(roots, "name string, native_id string"),
+            payloads=frame([(sha(body[k]), v) for k, v in bodies.items()], "payload string, bytes binary"),
+        )
+
+    source, target = SnapshotStore(spark, str(tmp_path / "from")), SnapshotStore(spark, str(tmp_path / "to"))
+    links = [("a", "b"), ("a", "c"), ("d", "c"), ("d", "x")]
+    commit(source, body, links, [("one", "a"), ("two", "d")])
+    transfer(source, target, ["one"])
+    assert {r.native_id for r in target.read("objects").collect()} == {"a", "b", "c"}
+    assert {(r.payload, bytes(r.bytes)) for r in target.read("payloads").collect()} == {(sha(body[k]), body[k]) for k in "abc"}
+    before = target.head()
+    for bodies, kind in ((body | {"x": b"damaged"}, "CorruptPayload"), ({k: v for k, v in body.items() if k != "x"}, "MissingPayload")):
+        commit(source, bodies, links, [("one", "a"), ("two", "d")])
+        with pytest.raises(Rejected) as e:
+            transfer(source, target)
+        assert e.value.kind == kind and target.head() == before
+    commit(source, body, [*links, ("x", "gone")], [("two", "d")])
+    with pytest.raises(Rejected) as e:
+        transfer(source, target, ["two"])
+    assert e.value.kind == "MissingObject"
+    with pytest.raises(Rejected) as e:
+        transfer(source, target, ["nowhere"])
+    assert e.value.kind == "MissingRoot"
+    commit(source, body, links, [("one", "a"), ("two", "d")])
+    transfer(source, target)
+    assert {r.name for r in target.read("roots").collect()} == {"one", "two"} and target.read("objects").count() == 5
+
+
+def test_deep_trees_and_checkout(spark, tmp_path):
+    from digestlake.operators import graph
+    from digestlake.sources.checkout import checkout, checkout_tree
+
+    entries = [(f"d{k}", f"n{k}", "d", f"d{k + 1}", 0) for k in range(40)] + [("d40", "leaf", "f", "blob", 4), ("d0", "run", "x", "blob", 4)]
+    entries = spark.createDataFrame(entries, "dir string, name string, kind string, digest string, size long")
+    top = spark.createDataFrame([("r", "d0")], "root string, native_id string")
+    assert graph.tree_paths(entries, top).count() == 42
+    with pytest.raises(graph.TraversalLimit):
+        graph.tree_paths(entries, top, 32)
+    spine = {r.path: r.spine for r in graph.path_spines(entries, top).collect()}
+    assert spine["run"] == ["d0", "blob"] and spine["n0/n1"] == ["d0", "d1", "d2"]
+    blobs = spark.createDataFrame([("blob", bytearray(b"data"))], "digest string, bytes binary")
+    out = checkout_tree(entries, "d0", blobs, str(tmp_path / "out")).collect()
+    assert len(out) == 2 and (tmp_path / "out" / "run").read_bytes() == b"data"
+    assert not [p for p in (tmp_path / "out").rglob(".*")]
+    for bad in ("../x", "/x", "a//b", "a/../../b"):
+        with pytest.raises(Exception, match="no relative path"):
+            checkout(spark.createDataFrame([(bad, bytearray(b"1"))], "path string, bytes binary"), str(tmp_path / "bad")).collect()
+    assert not (tmp_path / "x").exists() and not (tmp_path / "b").exists()
