@@ -17,6 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the runs of characters between white space and their ids take that a worker remembers; beyond that, and
 #: when a scan ends, it forgets and starts anew.
 MEMO_BYTES = 64 << 20
-#: Characters that str.split() takes as white space and the tokenizer does not.
+#: Characters that Arrow and str.split() take as white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Punctuation that ends a run. After one of _PLAIN it is a pre-token of its own. Other letters may be normalised to a
 #: letter and a mark, to which punctuation is joined.
@@ -38,22 +39,17 @@ _JOIN = 400
 _memo: dict[str, tuple[dict[str, bytes], np.ndarray]] = {}
 
 
-def _learn(runs: list[str], t, known: dict[str, bytes], last: np.ndarray) -> None:
-    """Add the ids of runs to known. Words of letters alone are encoded many at a time and told apart by the tokens
-    that end a word; a join whose words do not come out one by one is encoded word by word."""
-    words = [c for c in runs if c.isalpha()]
-    single = [c for c in runs if not c.isalpha()]
+def _learn(words: list[str], single: list[str], t, known: dict[str, bytes], last: np.ndarray) -> None:
+    """Add the ids of runs to known. Words, of letters alone, are encoded many at a time and told apart by the tokens
+    that end a word; a join whose words do not come out one by one is encoded word by word, as single runs are."""
     joins = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
     for own, e in zip(joins, t.encode_batch_fast([" ".join(j) for j in joins], add_special_tokens=False)):
         ids = np.array(e.ids, dtype="<u4")
-        ends = (np.nonzero(last[ids])[0] + 1) * 4
+        ends = ((np.nonzero(last[ids])[0] + 1) * 4).tolist()
         if len(ends) != len(own):
-            single += own
+            single = single + own
             continue
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(own, ends.tolist()):
-            known[word] = raw[at:end]
-            at = end
+        known.update(zip(own, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
     for i in range(0, len(single), 20_000):
         some = single[i : i + 20_000]
         known.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False))))
@@ -80,40 +76,46 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         vocab = t.get_vocab()
         last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        _memo[path] = ({}, last)
+        _memo[path] = ({"": b""}, last)
     runs, last = _memo[path]
     # a run takes a string, its ids as bytes and a place in the dict: some 240 bytes
     if len(runs) * 240 > MEMO_BYTES:
         runs.clear()
-    split = [None if _ODD.search(x) else _lowered(x).split() for x in texts]
-    found = [None if own is None else list(map(runs.get, own)) for own in split]
-    learn: dict[str, None] = {}
+        runs[""] = b""
+    odd = [_ODD.search(x) is not None for x in texts]
+    # a text that begins or ends in white space has empty runs there
+    split = pc.utf8_split_whitespace(pa.array(["" if o else _lowered(x) for o, x in zip(odd, texts)], pa.string()))
+    flat = split.flatten().dictionary_encode()
+    distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    new = set(distinct).difference(runs)
+    words = {r for r in new if r.isalpha()}
+    single: set[str] = set()
     ended: dict[str, str] = {}
-    for own, got in zip(split, found):
-        if own and None in got:
-            for r, g in zip(own, got):
-                if g is None and r not in ended and r not in learn:
-                    core = r.rstrip(_STOPS) if r[-1] in _STOPS else r
-                    if len(core) < len(r) and core and core[-1] in _PLAIN:
-                        ended[r] = core
-                        if core not in runs:
-                            learn[core] = None
-                        if (stop := r[len(core) :]) not in runs:
-                            learn[stop] = None
-                    else:
-                        learn[r] = None
-    _learn(list(learn), t, runs, last)
+    for r in new - words:
+        core = r.rstrip(_STOPS)
+        if core and len(core) < len(r) and core[-1] in _PLAIN:
+            ended[r] = core
+            if core not in runs:
+                (words if core.isalpha() else single).add(core)
+            if (stop := r[len(core) :]) not in runs:
+                single.add(stop)
+        else:
+            single.add(r)
+    _learn(list(words), list(single), t, runs, last)
     for r, core in ended.items():
         runs[r] = runs[core] + runs[r[len(core) :]]
-    out = []
-    for x, own, got in zip(texts, split, found):
-        if own is None:
-            out.append(np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        elif None in got:
-            out.append(b"".join([runs[r] if g is None else g for r, g in zip(own, got)]))
-        else:
-            out.append(b"".join(got))
-    return out
+    # the ids of all runs in a row, gathered from those of the distinct ones
+    each = list(map(runs.__getitem__, distinct))
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    firsts, codes = np.cumsum(sizes) - sizes, np.asarray(flat.indices)
+    many = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    bounds = (ends[np.asarray(split.offsets)] if texts else ends).tolist()
+    ids = np.frombuffer(b"".join(each), dtype="<u4")[np.repeat(firsts[codes] - ends[:-1], many) + np.arange(ends[-1])]
+    return [
+        np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() if o else ids[low:high].tobytes()
+        for x, o, low, high in zip(texts, odd, bounds, bounds[1:])
+    ]
 
 
 def pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, text_col: str = "text") -> DataFrame:

@@ -299,6 +299,18 @@ def test_ids_of_runs_that_end_in_punctuation():
             assert packing.encoded(texts[k : k + 20_000], path) == [np.array(e.ids, dtype="<u4").tobytes() for e in want[k : k + 20_000]]
 
 
+def test_ids_around_white_space():
+    path = token_counts.vocabulary(packing.TOKENIZER)
+    t = packing.tokenizer(path)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
+    texts = [form.format(c) for c in spaces for form in ("a{0}b", "{0}A{0}{0}b.{0}", "漢{0}字", "{0}", "x!{0}.y{0}")]
+    rng = random.Random(8)
+    texts += ["".join(rng.choices("aB1.,!?;:' éßª\n\t\x1d漢|<>", k=rng.randint(0, 30))) for _ in range(5000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert packing.encoded(texts, path) == want
+    assert [packing.encoded([x], path)[0] for x in texts[:500]] == want[:500] and packing.encoded([], path) == []
+
+
 def test_best_fill_is_best():
     rng = random.Random(4)
     for _ in range(60):
