@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +66,36 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
 
 
+def read_windows(rows: DataFrame, order: list[str], physical: list[Column | str], size: int = 65_536) -> DataFrame:
+    """rows with window and place: order is cut into windows of size rows, each put into physical order.
+
+    A window is sorted in one task and holds size rows, so that bound does not grow with rows.
+    """
+    dealt = numbered(rows, order, "__n").withColumn("window", F.floor((F.col("__n") - 1) / size).cast("long"))
+    place = F.row_number().over(Window.partitionBy("window").orderBy(*physical))
+    return dealt.withColumn("place", place.cast("long")).drop("__n")
+
+
+def edit_facts(facts: DataFrame, keys: DataFrame, edited: Callable[[Column], Column]) -> DataFrame:
+    """facts (identity, facts) after an edit of keys (identity): edited(fact, null where there is none) replaces the
+    fact, null removes it. Identities that are not asked for stay. Repeated keys are edited once."""
+    wanted = keys.select("identity").distinct().withColumn("__wanted", F.lit(True))
+    both = facts.join(wanted, "identity", "full_outer")
+    changed = F.when(F.col("__wanted"), edited(F.col("facts"))).otherwise(F.col("facts"))
+    return both.select("identity", changed.alias("facts")).where(F.col("facts").isNotNull())
+
+
+def clear_facts(facts: DataFrame, tombstone: str, generation: str) -> DataFrame:
+    """facts without those that say something: empty ones stay, tombstone is one of them, and the fact of generation is
+    the next number (1 where there is none)."""
+    names = ("identity", "facts")
+    stays = facts.where((F.octet_length("facts") == 0) & ~F.col("identity").isin(tombstone, generation)).select(*names)
+    number = F.coalesce(F.max(F.when(F.col("identity") == generation, F.col("facts").cast("long"))), F.lit(0)) + 1
+    counted = facts.agg(number.cast("string").alias("facts")).select(F.lit(generation).alias("identity"), "facts")
+    marked = counted.select(F.lit(tombstone).alias("identity"), F.lit("").alias("facts"))
+    return stays.unionByName(counted).unionByName(marked)
+
+
 def generation_gaps(runs: DataFrame) -> DataFrame:
     """Runs (low, high) in order, with Gap, Overlap or Ok against the run before."""
     before = F.lag("high").over(Window.orderBy("low"))

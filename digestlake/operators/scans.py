@@ -23,14 +23,40 @@ def prefix_end(prefix: bytes) -> bytes | None:
     return cut[:-1] + bytes([cut[-1] + 1]) if cut else None
 
 
-def key_page(rows: DataFrame, key: str, prefix: str, after: str | None, limit: int) -> DataFrame:
-    """The first limit rows with a key under prefix and above after; has_more tells whether there are others."""
+def key_page(rows: DataFrame, key: str, prefix: str, after: str | None, limit: int, size: Column | None = None, budget: int = 16 << 20) -> DataFrame:
+    """The first limit rows with a key under prefix and above after; has_more tells whether there are others.
+
+    With size, the bytes of a row, the page also ends before the row that would take it over budget.
+    """
     picked = rows.where(F.col(key).startswith(prefix))
     if after is not None:
         picked = picked.where(F.col(key) > after)
     # one row more than asked for shows whether the page is the last
     looked = picked.orderBy(key).limit(limit + 1).withColumn("__n", F.row_number().over(Window.orderBy(key)))
-    return looked.withColumn("has_more", F.max("__n").over(Window.partitionBy()) > limit).where(F.col("__n") <= limit).drop("__n")
+    keeps = F.col("__n") <= limit
+    if size is not None:
+        keeps = keeps & (F.sum(size).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) <= budget)
+    looked = looked.withColumn("__keeps", keeps)
+    return looked.withColumn("has_more", ~F.min("__keeps").over(Window.partitionBy())).where("__keeps").drop("__n", "__keeps")
+
+
+def shard_map(rows: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """(shard, first, last): the range of keys in each shard of rows, dealt by the first digits of their keys."""
+    return rows.groupBy(F.substring(key, 1, digits).alias("shard")).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def shard_lookup(requested: DataFrame, rows: DataFrame, key: str, columns: list[str], digits: int = 2) -> DataFrame:
+    """requested (..., key) with the shard that can hold each key (null: none can) and the columns found in it.
+
+    A key outside the range of its shard is answered by the map alone. Both joins are on the shard or on shard and key,
+    so rows stored by shard are neither read nor shuffled beyond the shards asked for.
+    """
+    zones = shard_map(rows, key, digits)
+    at = requested.withColumn("__zone", F.substring(key, 1, digits))
+    inside = (at["__zone"] == zones["shard"]) & at[key].between(zones["first"], zones["last"])
+    routed = at.join(zones, inside, "left").drop("__zone", "first", "last")
+    held = rows.select(F.substring(key, 1, digits).alias("__shard"), F.col(key).alias("__key"), *columns)
+    return routed.join(held, (routed["shard"] == held["__shard"]) & (routed[key] == held["__key"]), "left").drop("__shard", "__key")
 
 
 def lookup(requested: DataFrame, rows: DataFrame, key: str, columns: list[str], found: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from digestlake.operators.folds import contribution
 from digestlake.operators.graph import closure
 
 
@@ -56,6 +57,34 @@ def requested_status(objects: DataFrame, links: DataFrame, requested: DataFrame,
     return rows.groupBy("name").agg(first.alias("f")).select("name", status.alias("status"))
 
 
+def discovery(queue: DataFrame, expanded: DataFrame, shallow: DataFrame) -> DataFrame:
+    """(native_id, recursive): what a round of discovery has yet to visit of queue (source, native_id).
+
+    A key that comes from a link is visited with its links, one that was only named without them. What was expanded is
+    done; what was visited shallowly is visited again only if a link asks for it now.
+    """
+    asked = queue.groupBy("native_id").agg(F.max(F.col("source").isNotNull()).alias("recursive"))
+    fresh = asked.join(expanded.select("native_id").distinct(), "native_id", "left_anti")
+    once = shallow.select("native_id").distinct().withColumn("__shallow", F.lit(True))
+    return fresh.join(once, "native_id", "left").where(F.col("recursive") | F.col("__shallow").isNull()).select("native_id", "recursive")
+
+
+def selected_sizes(entries: DataFrame, records: DataFrame, received: DataFrame) -> DataFrame:
+    """(dir, name, advertised, selected, status) of the entries a selection may name, symbolic links apart.
+
+    entries (dir, name, kind, digest, advertised) say what a parent advertises. A file holds the payload_size of its
+    record, a directory what its received entries add up to. Status is Ok, WrongSize, or IncompleteSource where the
+    record is not there.
+    """
+    below = received.groupBy(F.col("dir").alias("__dir")).agg(F.sum(contribution(F.col("kind"), F.col("size"))).alias("__below"))
+    own = records.select(F.col("native_id").alias("__id"), F.col("payload_size").alias("__size"))
+    rows = entries.where("kind <> 'l'").join(own, F.col("digest") == F.col("__id"), "left").join(below, F.col("digest") == F.col("__dir"), "left")
+    holds = F.when(F.col("kind") == "d", F.coalesce("__below", F.lit(0))).otherwise(F.col("__size"))
+    selected = F.when(F.col("__id").isNotNull(), holds).cast("long")
+    status = F.when(selected.isNull(), "IncompleteSource").when(selected == F.col("advertised"), "Ok").otherwise("WrongSize")
+    return rows.select("dir", "name", "advertised", selected.alias("selected"), status.alias("status"))
+
+
 def slice_bases(source_roots: DataFrame, target_roots: DataFrame) -> DataFrame:
     """Roots of one name that differ: the target's object is the base to send against."""
     right = target_roots.select("name", F.col("native_id").alias("base"))

@@ -136,6 +136,14 @@ def _(r):
     return scans.key_page(r.kv.select("key", "value"), "key", "src0/", "src0/2", 20)
 
 
+@add("kv_scan_page_budget", """SELECT key, value, count(*) FILTER (WHERE NOT keeps) OVER () > 0 AS has_more FROM (
+  SELECT key, value, n <= 40 AND bytes <= 300 AS keeps FROM (SELECT key, value, row_number() OVER (ORDER BY key) AS n, sum(strlen(key) + coalesce(strlen(value), 0)) OVER (ORDER BY key) AS bytes
+    FROM (SELECT key, value FROM kv WHERE key LIKE 'src1/%' AND key > 'src1/1' ORDER BY key LIMIT 41))) QUALIFY keeps""")
+def _(r):
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return scans.key_page(r.kv.select("key", "value"), "key", "src1/", "src1/1", 40, size, 300)
+
+
 @add("facts_page", "SELECT blob, size, count(*) OVER () > 15 AS has_more FROM (SELECT blob, max(size) AS size FROM cached WHERE blob > '8' GROUP BY blob ORDER BY blob LIMIT 16) ORDER BY blob LIMIT 15")
 def _(r):
     return scans.key_page(r.cached.groupBy("blob").agg(F.max("size").alias("size")), "blob", "", "8", 15)
@@ -146,6 +154,29 @@ def _(r):
     return folds.last_writer(r.runs.where("generation >= 2").select("key", "ts", "event_id", "value"), ["key"], ["ts", "event_id"]).select("key", "value")
 
 
+_FACTS = "(SELECT blob AS identity, CASE WHEN min(inode) % 7 = 0 THEN '' ELSE CAST(min(inode) AS VARCHAR) END AS facts FROM cached GROUP BY blob UNION ALL SELECT 'generation', '41')"
+
+
+def facts(r: Repo) -> DataFrame:
+    """A verification store: a number or nothing for each blob, and the generation."""
+    least = F.min("inode")
+    own = r.cached.groupBy(F.col("blob").alias("identity")).agg(F.when(least % 7 == 0, "").otherwise(least.cast("string")).alias("facts"))
+    return own.unionByName(r.spark.range(1).select(F.lit("generation").alias("identity"), F.lit("41").alias("facts")))
+
+
+@add("facts_edit", f"""WITH f AS (SELECT * FROM {_FACTS}), keys AS (SELECT DISTINCT CASE WHEN inode % 2 = 0 THEN blob ELSE SHA(blob) END AS identity FROM cached WHERE inode % 3 = 0)
+  SELECT * FROM (SELECT coalesce(f.identity, keys.identity) AS identity, CASE WHEN keys.identity IS NULL THEN facts WHEN f.identity IS NULL THEN 'new' WHEN facts = '' THEN NULL ELSE concat(facts, '+') END AS facts
+  FROM f FULL JOIN keys ON f.identity = keys.identity) WHERE facts IS NOT NULL""")
+def _(r):
+    keys = r.cached.where("inode % 3 = 0").select(F.when(F.col("inode") % 2 == 0, F.col("blob")).otherwise(F.sha2("blob", 256)).alias("identity"))
+    return folds.edit_facts(facts(r), keys, lambda fact: F.when(fact.isNull(), "new").when(fact != "", F.concat(fact, F.lit("+"))))
+
+
+@add("facts_clear", f"SELECT * FROM {_FACTS} WHERE facts = '' UNION ALL SELECT 'generation', '42' UNION ALL SELECT 'tombstone', ''")
+def _(r):
+    return folds.clear_facts(facts(r), "tombstone", "generation")
+
+
 @add("list_blobs", "SELECT DISTINCT payload FROM manifest")
 def _(r):
     return r.manifest.select("payload").distinct()
@@ -176,6 +207,12 @@ def _(r):
     return r.objects.groupBy(F.substring("native_id", 1, 2).alias("shard")).agg(F.count("*").alias("objects"), F.min("native_id").alias("least"))
 
 
+@add("shard_routed_lookup", f"""WITH {ASKED}, zones AS (SELECT substring(native_id, 1, 2) AS shard, min(native_id) AS low, max(native_id) AS high FROM objects GROUP BY 1)
+  SELECT a.ordinal, a.native_id, z.shard, o.payload FROM asked a LEFT JOIN zones z ON substring(a.native_id, 1, 2) = z.shard AND a.native_id BETWEEN z.low AND z.high LEFT JOIN objects o ON a.native_id = o.native_id""")
+def _(r):
+    return scans.shard_lookup(asked(r), r.objects, "native_id", ["payload"]).select("ordinal", "native_id", "shard", "payload")
+
+
 @add("chunk_locations", "SELECT m.chunk, min(p.pack) AS pack, count(*) AS uses FROM manifest m LEFT JOIN pack_entries p ON m.chunk = p.chunk GROUP BY m.chunk")
 def _(r):
     uses = r.manifest.groupBy("chunk").agg(F.count("*").alias("uses"))
@@ -623,10 +660,16 @@ def _(r):
     return r.objects.where("native_id > '80'").orderBy("native_id").limit(256).select("native_id", "payload")
 
 
-@add("physical_read_order", "SELECT o.native_id, m.pack FROM objects o LEFT JOIN (SELECT payload, min(pack) AS pack FROM manifest JOIN pack_entries USING (chunk) WHERE seq = 0 GROUP BY payload) m ON o.payload = m.payload")
+_PACKED = "(SELECT o.namespace, o.native_id, o.payload, m.pack FROM objects o LEFT JOIN (SELECT payload, min(pack) AS pack FROM manifest JOIN pack_entries USING (chunk) WHERE seq = 0 GROUP BY payload) m ON o.payload = m.payload)"
+
+
+@add("physical_read_order", f"""SELECT native_id, pack, w AS "window", row_number() OVER (PARTITION BY w ORDER BY pack IS NULL, pack, payload, namespace, native_id) AS place
+  FROM (SELECT *, CAST(floor((row_number() OVER (ORDER BY namespace, native_id) - 1) / 4096) AS BIGINT) AS w FROM {_PACKED})""")
 def _(r):
     first = r.manifest.where("seq = 0").join(r.pack_entries, "chunk").groupBy("payload").agg(F.min("pack").alias("pack"))
-    return r.objects.join(first, "payload", "left").orderBy(F.col("pack").asc_nulls_last(), "payload", "native_id").select("native_id", "pack")
+    rows = r.objects.select("namespace", "native_id", "payload").join(first, "payload", "left")
+    physical = [F.col("pack").asc_nulls_last(), "payload", "namespace", "native_id"]
+    return folds.read_windows(rows, ["namespace", "native_id"], physical, 4096).select("native_id", "pack", "window", "place")
 
 
 @add("chunk_offsets", "SELECT payload, seq, CAST(coalesce(sum(size) OVER (PARTITION BY payload ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM manifest")
@@ -734,9 +777,13 @@ def _(r):
     return graph.fetch_selection(commit_graph(r), tips(r), have).select("native_id")
 
 
-@add("transfer_recursive_upgrade", "SELECT user_id AS key, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 1 AS recursive FROM events GROUP BY user_id")
+@add("transfer_recursive_upgrade", """SELECT native_id, recursive FROM (SELECT native_id, max(CASE WHEN source IS NULL THEN 0 ELSE 1 END) = 1 AS recursive
+    FROM (SELECT NULL AS source, native_id FROM roots UNION ALL SELECT NULL, digest FROM entries UNION ALL SELECT src, dst FROM links WHERE src IN (SELECT native_id FROM dst_objects)) GROUP BY 1) q
+  WHERE native_id NOT IN (SELECT native_id FROM dst_objects WHERE validated) AND (recursive OR native_id NOT IN (SELECT native_id FROM dst_objects))""")
 def _(r):
-    return r.events.groupBy(F.col("user_id").alias("key")).agg((F.max(F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)) == 1).alias("recursive"))
+    named = r.roots.select("native_id").unionAll(r.entries.select("digest")).select(F.lit(None).cast("string").alias("source"), "native_id")
+    linked = r.links.join(r.dst_objects, r.links["src"] == r.dst_objects["native_id"], "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("native_id"))
+    return sync.discovery(named.unionByName(linked), r.dst_objects.where("validated"), r.dst_objects.where("NOT validated"))
 
 
 @add("hardlink_fix_point", """WITH RECURSIVE f AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey - 1 END AS target FROM part WHERE p_partkey >= 8),
@@ -1148,7 +1195,15 @@ def _(r):
     return region_roots(r).select("native_id").union(scans.created_through(r.objects, 1).select("native_id")).distinct()
 
 
-@add("selected_size_check", "SELECT dir, CAST(sum(CASE WHEN kind = 'd' THEN 1 + size ELSE 1 END) AS BIGINT) AS size, sum(CASE WHEN kind = 'd' THEN 1 + size ELSE 1 END) % 2 = 0 AS advertised FROM entries GROUP BY dir")
+@add("selected_size_check", """WITH adds AS (SELECT *, CASE WHEN kind = 'd' THEN 1 + size ELSE 1 END AS n FROM entries), told AS (SELECT dir AS id, sum(n) AS size FROM adds GROUP BY 1),
+  got AS (SELECT dir AS id, sum(n) AS size FROM adds WHERE digest IN (SELECT native_id FROM dst_objects) GROUP BY 1),
+  sized AS (SELECT e.dir, e.name, CAST(CASE WHEN e.kind = 'd' THEN coalesce(told.size, 0) ELSE e.size END AS BIGINT) AS advertised,
+    CAST(CASE WHEN d.native_id IS NULL THEN NULL WHEN e.kind = 'd' THEN coalesce(got.size, 0) ELSE d.payload_size END AS BIGINT) AS selected
+    FROM entries e LEFT JOIN told ON e.digest = told.id LEFT JOIN got ON e.digest = got.id LEFT JOIN dst_objects d ON e.digest = d.native_id WHERE e.kind <> 'l')
+  SELECT *, CASE WHEN selected IS NULL THEN 'IncompleteSource' WHEN selected = advertised THEN 'Ok' ELSE 'WrongSize' END AS status FROM sized""")
 def _(r):
-    total = F.sum(folds.contribution(F.col("kind"), F.col("size")))
-    return r.entries.groupBy("dir").agg(total.alias("size"), (total % 2 == 0).alias("advertised"))
+    told = r.entries.groupBy(F.col("dir").alias("id")).agg(F.sum(folds.contribution(F.col("kind"), F.col("size"))).alias("told"))
+    advertised = F.when(F.col("kind") == "d", F.coalesce("told", F.lit(0))).otherwise(F.col("size")).cast("long")
+    entries = r.entries.join(told, F.col("digest") == F.col("id"), "left").select("dir", "name", "kind", "digest", advertised.alias("advertised"))
+    received = r.entries.join(r.dst_objects.select(F.col("native_id").alias("digest")), "digest", "left_semi")
+    return sync.selected_sizes(entries, r.dst_objects, received)
