@@ -1,9 +1,12 @@
 """The publication of staged objects over a snapshot store."""
 
+import hashlib
+
 import pytest
 
 from digestlake.streaming.ingest import SnapshotStore, StaleRevision
-from digestlake.streaming.publish import Limits, Rejected, publish
+from digestlake.sources.forest import hashed, import_forest, rolled_up
+from digestlake.streaming.publish import Limits, Rejected, publish, publish_at_revision, publish_closures, publish_if_roots_match, publish_rooted, publish_unrooted
 
 
 @pytest.fixture
@@ -126,3 +129,62 @@ def test_deep_trees_and_checkout(spark, tmp_path):
         with pytest.raises(Exception, match="no relative path"):
             checkout(spark.createDataFrame([(bad, bytearray(b"1"))], "path string, bytes binary"), str(tmp_path / "bad")).collect()
     assert not (tmp_path / "x").exists() and not (tmp_path / "b").exists()
+
+
+def test_publish_variants(spark, tmp_path, stage):
+    store = SnapshotStore(spark, str(tmp_path / "repo"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "native_id string")
+    expect = lambda *x: spark.createDataFrame(list(x), "name string, native_id string")
+    # records without a name need not be whole yet
+    publish_unrooted(store, *stage([("a", "1")], [("a", "b")])[:2])
+    with pytest.raises(Rejected, match="MissingObject: b"):
+        publish_closures(store, *stage([("x", "0")])[:2], ids("a"))
+    publish_closures(store, *stage([("b", "2")])[:2], ids("a"))
+    assert {r.native_id for r in store.read("witnesses").collect()} == {"a"}
+    publish_rooted(store, *stage([("c", "3")], [("c", "a")])[:2], "top", "c")
+    head = store.head()["revision"]
+    with pytest.raises(Rejected, match="RootMismatch: gone"):
+        publish_if_roots_match(store, *stage([("d", "4")], [], [("top", "d")]), expect(("top", "a"), ("gone", "c"), ("none", None)))
+    assert store.head()["revision"] == head
+    after = publish_if_roots_match(store, *stage([("d", "4")], [], [("top", "d")]), expect(("top", "c"), ("none", None)))
+    with pytest.raises(StaleRevision):
+        publish_at_revision(store, *stage([("e", "5")]), revision=head)
+    publish_at_revision(store, *stage([("e", "5")]), revision=after["revision"])
+    assert {tuple(r) for r in store.read("roots").collect()} == {("top", "d")}
+    assert {r.native_id for r in store.read("objects").collect()} == set("abcde")
+
+
+def digest_of(top):
+    """(digest, size) of a folder by recursion, as rolled_up has it."""
+    lines, total = [], 0
+    for p in sorted(top.iterdir(), key=lambda p: p.name):
+        kind = "d" if p.is_dir() else "f"
+        digest, size = digest_of(p) if p.is_dir() else (hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size)
+        lines.append(f"{kind} {digest} {size} {p.name}")
+        total += size + 1 if kind == "d" else 1
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest(), total
+
+
+def test_import_forest(spark, tmp_path):
+    tops = {"one": str(tmp_path / "t.1+"), "two": str(tmp_path / "two")}
+    for path, text in (("t.1+/a", "1"), ("t.1+/d/e/f", "2"), ("t.1+/d/g", "2"), ("two/d/e/f", "2"), ("two/h i", "")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    store = SnapshotStore(spark, str(tmp_path / "repo"))
+    _, cache = import_forest(store, tops)
+    want = {(n, digest_of(tmp_path / t.rsplit("/", 1)[1])[0]) for n, t in tops.items()}
+    assert {tuple(r) for r in store.read("roots").collect()} == want
+    # files 1, 2 and the empty one; d/e is the same in both trees
+    assert store.read("objects").count() == 3 + 5 and cache.count() == 5
+    sizes = {r.native_id: r.size for r in rolled_up(cache)[0].collect()}
+    assert all(sizes[digest] == digest_of(tmp_path / tops[n].rsplit("/", 1)[1])[1] for n, digest in want)
+    # what the cache knows is not hashed again
+    marked = cache.selectExpr("root", "path", "size", "modified", "concat('known-', path) AS digest")
+    assert all(r.digest.startswith("known-") for r in hashed(spark, tops, marked).collect())
+    (tmp_path / "two/d/new").write_text("9")
+    _, again = import_forest(store, tops, cache)
+    assert again.count() == 6 and {tuple(r) for r in store.read("roots").collect()} == {(n, digest_of(tmp_path / t.rsplit("/", 1)[1])[0]) for n, t in tops.items()}
+    with pytest.raises(ValueError, match="one name"):
+        rolled_up(spark.createDataFrame([("r", "a", 1, "x"), ("r", "a/b", 1, "y")], "root string, path string, size long, digest string"))
+    with pytest.raises(ValueError, match="no files"):
+        rolled_up(cache.where("false"))
