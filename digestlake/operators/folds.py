@@ -51,19 +51,25 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return joined.withColumn("first", F.col(order) == F.col("__least")).drop("__key", "__least")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with their place in order, from 1. order must tell rows apart.
+def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the sum of value over the rows before each in order, 0 at first. order must tell rows apart; null
+    values count as 0.
 
-    Rows are dealt to ranges of order, numbered inside each, and moved up by the counts of the ranges before: no task
-    sorts more than its range.
+    Rows are dealt to ranges of order, summed inside each, and moved up by the sums of the ranges before: no task sorts
+    more than its range.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    dealt = checkpointed(rows.withColumn("__value", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
-    starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = dealt.withColumn("__own", own).join(F.broadcast(starts), "__part")
-    return out.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+    starts = dealt.groupBy("__part").agg(F.sum("__value").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.withColumn("__own", F.coalesce(own, F.lit(0))).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before", "__value")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in order, from 1. order must tell rows apart."""
+    return running(rows, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def read_windows(rows: DataFrame, order: list[str], physical: list[Column | str], size: int = 65_536) -> DataFrame:

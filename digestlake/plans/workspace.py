@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,13 +33,17 @@ def shipped(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in spark.checkpoint.dir (or a local default where that is unset) and read back.
+    """df written once as Parquet in spark.checkpoint.dir (or a default in local mode where that is unset) and read back.
 
     An RDD checkpoint computes its input twice and hides its size; a table is computed once and its size lets the
     planner broadcast a small frontier. The folder goes when the driver ends.
     """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = DEFAULT_DIR
     path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
     _cuts.append(path)
     df.write.parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from digestlake.functions import codecs, hashing, text
 from digestlake.operators import collect, folds, graph, scans, sync
+from digestlake.plans import workspace
 from digestlake.sources import archives, git
 from digestlake.streaming.ingest import SnapshotStore, StaleRevision, keep_latest
 
@@ -235,6 +236,29 @@ def test_eviction_stops_when_pressure_ends(spark):
     assert [r.name for r in collect.eviction(roots, policy, sizes, 80, 100).collect()] == ["b"]
 
 
+def test_running_sums_over_ranges(spark):
+    rows = [(i // 3, f"n{i}", None if i % 7 == 0 else i) for i in range(100)]
+    got = folds.running(spark.createDataFrame(rows, "a long, b string, v long"), ["a", "b"], F.col("v"), "before")
+    at, want = 0, {}
+    for a, b, v in sorted(rows, key=lambda r: r[:2]):
+        want[b], at = at, at + (v or 0)
+    assert got.columns == ["a", "b", "v", "before"] and {r.b: r.before for r in got.collect()} == want
+    assert folds.running(got.limit(0), ["a", "b"], F.col("v"), "before").count() == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    class Frame:
+        class sparkSession:
+            class sparkContext:
+                master = "local-cluster[2,1,1024]"
+
+            class conf:
+                get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.checkpointed(Frame)
+
+
 def test_store_and_stream(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "repo"))
     first = store.commit(None, objects=spark.range(3))
