@@ -3,7 +3,8 @@
 A string of 50 bytes is found again by its smallest 20-gram hash: equal strings have equal smallest hashes, and the
 windows of a text fall into runs that share one (about 16 windows). The work has four steps over blocks of documents:
 
-1. each block sends its distinct run hashes to buckets; a bucket tells the blocks which occur in two documents;
+1. each block sends marks of its distinct run hashes (32 bits, sorted, as differences) to buckets; a bucket tells the
+   blocks which occur in two documents. Different hashes that share a mark only cost a segment sent in vain;
 2. each block cuts out the runs with such hashes (a segment: the bytes that a run's windows cover) and sends each
    distinct segment once, with the smallest doc_id that has it in this block;
 3. a bucket sorts suffixes of its segments: multikey quicksort over 8-byte characters down to a shallow depth, then
@@ -14,7 +15,8 @@ windows of a text fall into runs that share one (about 16 windows). The work has
 4. each block marks the windows whose smallest doc_id is below their document's, and drops the bytes they cover.
 
 A passage that very many documents share costs a bucket one row per block. Segments of one hash are in one bucket, so
-no match is lost; different hashes never hold equal strings.
+no match is lost; different hashes never hold equal strings. What is shuffled is packed with zstd by bucket, as the
+overlapping segments are several times as large as the texts that they are cut from.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestlake.llm.blocks import BLOCK_BYTES, block_id
+from digestlake.llm.blocks import BLOCK_BYTES, block_id, unvarints, varints
 from digestlake.llm.common import file_system, partitions, prepared, quoted, scratch
 
 GRAM = 20
@@ -270,6 +272,47 @@ def _blob(values, kind: str) -> bytes:
     return np.asarray(values, dtype=kind).tobytes()
 
 
+def squeezed(data: bytes | pa.Buffer) -> bytes:
+    """data packed with zstd behind its length."""
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if len(data) else b"")
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _packed(values, kind: str) -> bytes:
+    """Whole numbers as differences, which are mostly small, packed."""
+    v = np.asarray(values, dtype=kind)
+    return squeezed(np.diff(v, prepend=v[:0].dtype.type(0)).tobytes())  # differences that overflow come back in the sum
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unsqueezed(data), kind), dtype=kind)
+
+
+def _marks(h: np.ndarray) -> np.ndarray:
+    """32 bits of each hash. The lowest bits tell the bucket and the highest ones are mostly zero in a minimum."""
+    return h >> np.uint64(16) & np.uint64(0xFFFFFFFF)
+
+
+def _mark_rows(h: np.ndarray, two: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """For each bucket the distinct marks of hashes, times two and odd if two documents have one."""
+    for k, at in _deal((h % np.uint64(buckets)).astype(np.int64), buckets):
+        mark = _marks(h[at])
+        order = np.argsort(mark, kind="stable")
+        mark = mark[order]
+        first = np.nonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))[0]
+        odd = np.maximum.reduceat(two[at][order].astype(np.uint64), first)
+        odd |= np.diff(np.append(first, len(mark))) > 1  # two hashes of one mark may be in two documents
+        yield k, varints(np.diff(mark[first] << np.uint64(1) | odd, prepend=np.uint64(0)))
+
+
+def _marks_of(data: bytes) -> np.ndarray:
+    return np.cumsum(unvarints(data)).astype(np.uint64)
+
+
 def _deal(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -304,7 +347,7 @@ def _read(where: str, block: int) -> tuple[list[int | None], list[bytes]]:
 
 def _hashes(where: str, length: int, buckets: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Step 1 in a block: distinct hashes; odd if two documents of the block have it."""
+        """Step 1 in a block: marks of its distinct hashes; odd if two documents of the block have one."""
         ids, docs = _read(where, key[0])
         docs = [d if i is not None else b"" for i, d in zip(ids, docs)]
         got = []
@@ -325,16 +368,15 @@ def _hashes(where: str, length: int, buckets: int):
         first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
         many = np.diff(np.append(first, len(h))) > 1
         two = (np.add.reduceat(two, first) > 0) | many
-        h = (h[first] & ~np.uint64(1)) | two
-        rows = [(k, key[0], _blob(h[at], "<u8")) for k, at in _deal(((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64), buckets)]
+        rows = [(k, key[0], marks) for k, marks in _mark_rows(h[first], two, buckets)]
         return pd.DataFrame(rows, columns=["bucket", "block", "hashes"])
 
     return run
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step 1 in a bucket: for each block its hashes that two documents have."""
-    own = [np.frombuffer(x, dtype="<u8") for x in pdf["hashes"]]
+    """Step 1 in a bucket: for each block its marks that two documents have."""
+    own = [_marks_of(x) for x in pdf["hashes"]]
     every = np.concatenate(own)
     plain = every >> np.uint64(1)
     order = np.argsort(plain, kind="stable")
@@ -346,27 +388,28 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     mask = np.empty(len(every), dtype=bool)
     mask[order] = keep
     out, at = [], 0
-    for block, x in zip(pdf["block"], own):
+    for bucket, block, x in zip(pdf["bucket"], pdf["block"], own):
         m = mask[at : at + len(x)]
         at += len(x)
         if m.any():
-            out.append((block, _blob(x[m] >> np.uint64(1), "<u8")))
-    return pd.DataFrame(out, columns=["block", "hashes"])
+            out.append((block, bucket, varints(np.diff(x[m] >> np.uint64(1), prepend=np.uint64(0)))))
+    return pd.DataFrame(out, columns=["block", "bucket", "hashes"])
 
 
 def _segments(where: str, length: int, buckets: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Step 2: distinct segments of a block for the buckets, and where they are in its documents."""
-        shared = np.sort(np.concatenate([np.frombuffer(x, dtype="<u8") for x in pdf["hashes"]]))
+        # a bucket and a mark make one number
+        shared = np.sort(np.concatenate([np.uint64(k) << np.uint64(32) | _marks_of(x) for k, x in zip(pdf["bucket"], pdf["hashes"])]))
         ids, docs = _read(where, key[0])
         known: dict[bytes, int] = {}
         hashes, least, at_doc, at_start, at_seg = [], [], [], [], []
         usable = [d if i is not None else b"" for i, d in zip(ids, docs)]
         for a, b in chunks(usable):
             h, of, start, count = runs(usable[a:b], length)
-            h = h >> np.uint64(1)
-            k = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-            hit = shared[k] == h
+            told = h % np.uint64(buckets) << np.uint64(32) | _marks(h)
+            k = np.minimum(np.searchsorted(shared, told), len(shared) - 1)
+            hit = shared[k] == told
             for v, d, s, n in zip(h[hit].tolist(), (of[hit] + a).tolist(), start[hit].tolist(), count[hit].tolist()):
                 seg = usable[d][s : s + n + length - 1]
                 i = known.get(seg)
@@ -384,21 +427,28 @@ def _segments(where: str, length: int, buckets: int):
             segs, h, least_ = list(known), np.array(hashes, dtype=np.uint64), np.array(least, dtype=np.int64)
             for bucket, at in _deal((h % np.uint64(buckets)).astype(np.int64), buckets):
                 some = [segs[i] for i in at.tolist()]
-                rows.append(("segments", key[0], bucket, _blob(at, "<i4"), _blob(h[at], "<u8"), _blob(least_[at], "<i8"), _blob([len(x) for x in some], "<i4"), b"".join(some)))
+                rows.append(("segments", key[0], bucket, _packed(at, "<i4"), _blob(_marks(h[at]), "<u4"), _packed(least_[at], "<i8"), _packed([len(x) for x in some], "<i4"), b"".join(some)))
             rows.append(("places", key[0], -1, _blob(at_doc, "<i4"), _blob(at_start, "<i8"), _blob(at_seg, "<i4"), None, None))
         return pd.DataFrame(rows, columns=["kind", "block", "bucket", "a", "b", "c", "d", "data"])
 
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of segments as they are shuffled. Where they are stored, a block's rows are packed together."""
+    for b in batches:
+        at = b.schema.get_field_index("data")
+        yield b.set_column(at, "data", pa.array([squeezed(x.as_buffer()) for x in b.column(at)], pa.binary()))
+
+
 def _sorted(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Step 3 in a bucket: for each block's segments the smallest doc_id of each run of windows."""
-        index = [np.frombuffer(a, "<i4") for a in pdf["a"]]
-        h = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["b"]])
-        least = np.concatenate([np.frombuffer(c, "<i8") for c in pdf["c"]])
-        size = np.concatenate([np.frombuffer(d, "<i4") for d in pdf["d"]]).astype(np.int64)
-        data = b"".join(bytes(x) for x in pdf["data"])
+        index = [_unpacked(a, "<i4") for a in pdf["a"]]
+        h = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["b"]])
+        least = np.concatenate([_unpacked(c, "<i8") for c in pdf["c"]])
+        size = np.concatenate([_unpacked(d, "<i4") for d in pdf["d"]]).astype(np.int64)
+        data = b"".join(unsqueezed(x) for x in pdf["data"])
         start = np.cumsum(size) - size
         mine = segment_classes(data, start, size, length)
         # each distinct segment: one place where it is, its hash, and the smallest doc_id that has it
@@ -433,7 +483,7 @@ def _sorted(length: int):
             done += len(own)
             many = cuts[seg + 1] - cuts[seg]
             pick = order[np.repeat(cuts[seg], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            out.append((block, _blob(np.repeat(own, many), "<i4"), _blob(run_first[pick], "<i8"), _blob(run_count[pick], "<i8"), _blob(run_low[pick], "<i8")))
+            out.append((block, _packed(np.repeat(own, many), "<i4"), _packed(run_first[pick], "<i8"), _packed(run_count[pick], "<i8"), _packed(run_low[pick], "<i8")))
         return pd.DataFrame(out, columns=["block", "a", "b", "c", "d"])
 
     return run
@@ -468,7 +518,7 @@ def _kept(where: str, places: str, length: int, with_text: bool):
         """Step 4: the block's documents without what smaller documents have."""
         ids, docs = _read(where, key[0])
         marks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        seg, first, count, low = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in zip("abcd", ("<i4", "<i8", "<i8", "<i8")))
+        seg, first, count, low = (np.concatenate([_unpacked(x, kind) for x in pdf[c]]) for c, kind in zip("abcd", ("<i4", "<i8", "<i8", "<i8")))
         if len(seg):
             import pyarrow.dataset as ds
 
@@ -517,11 +567,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", bl
     stored.mapInArrow(_store(block_bytes), "block long, doc_id long, text binary").write.option("compression", "zstd").partitionBy("block").parquet(where)
     ids = spark.read.schema("doc_id long, text binary, block long").parquet(where).select("block").distinct()
     hashes = ids.repartition(tasks, "block").groupBy("block").applyInPandas(_hashes(where, length, buckets), "bucket int, block long, hashes binary")
-    shared = hashes.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_shared), "block long, hashes binary")
+    shared = hashes.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_shared), "block long, bucket int, hashes binary")
     schema = "kind string, block long, bucket int, a binary, b binary, c binary, d binary, data binary"
     found = shared.repartition(tasks, "block").groupBy("block").applyInPandas(_segments(where, length, buckets), schema)
     found.write.option("compression", "zstd").partitionBy("kind", "block").parquet(places)
     segments = spark.read.schema(schema).parquet(places).where("kind = 'segments'").drop("kind")
+    segments = segments.mapInArrow(_squeeze, segments.schema)
     answers = segments.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_sorted(length)), "block long, a binary, b binary, c binary, d binary")
     none = F.lit(b"")
     every = answers.unionByName(ids.select("block", *[none.alias(c) for c in "abcd"]))

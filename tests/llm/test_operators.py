@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from digestlake.llm import decontamination, exact_dedup, language_id, packing, pii, sharding, simhash, suffix_dedup, token_counts, warc
@@ -680,6 +681,58 @@ def test_repeats_in_random_texts(spark):
     assert found_repeats(df, block_bytes=2000) == removed_by_force(pairs)
 
 
+def test_shuffled_bytes_of_repeats(tmp_path, monkeypatch):
+    """A hash takes 4 bytes on its way to a bucket, and a segment far less than its own bytes."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    docs = [" ".join(rng.choice(words) for _ in range(4000)).encode() for _ in range(20)]
+    docs.append(docs[3])
+    monkeypatch.setattr(suffix_dedup, "_read", lambda where, block: (list(range(len(docs))), docs))
+    sent = suffix_dedup._hashes("", 50, 4)((7,), None)
+    distinct = len(set(suffix_dedup.runs(docs, 50)[0].tolist()))
+    assert sent["hashes"].map(len).sum() < 4 * distinct
+    told = suffix_dedup._shared(sent)
+    found = suffix_dedup._segments("", 50, 4)((7,), told)
+    found = found[found["kind"] == "segments"]
+    # no more than the two copies share, but for a few marks that fall together
+    assert len(set(suffix_dedup.runs([docs[3]], 50)[0].tolist())) <= found["b"].map(len).sum() // 4 < distinct / 15
+    packed = found.assign(data=found["data"].map(suffix_dedup.squeezed))
+    assert packed[["a", "b", "c", "d", "data"]].map(len).sum().sum() < 0.75 * found["data"].map(len).sum()
+    assert suffix_dedup.unsqueezed(packed["data"].iloc[0]) == found["data"].iloc[0]
+
+
+def test_packed_numbers_come_back():
+    for kind, values in (("<i8", [-(2**63), 2**63 - 1, 0, -5]), ("<i4", [2**31 - 1, -(2**31), 7]), ("<i8", [])):
+        assert suffix_dedup._unpacked(suffix_dedup._packed(values, kind), kind).tolist() == values
+    assert suffix_dedup.unsqueezed(suffix_dedup.squeezed(b"")) == b""
+
+
+def test_hashes_of_one_mark_lose_nothing(spark, monkeypatch):
+    """Where marks fall together, segments are sent in vain, and the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "_marks", lambda h: h >> np.uint64(16) & np.uint64(7))
+    docs = [(i, t) for i, t in odd_texts() if t is not None and len(t) < 10_000]
+    held: dict[int, list[bytes]] = {k: [t.encode() for _, t in docs[k::2]] for k in (0, 1)}
+    monkeypatch.setattr(suffix_dedup, "_read", lambda where, block: ([i for i, _ in docs[block::2]], held[block]))
+    sent = pd.concat([suffix_dedup._hashes("", 50, 2)((k,), None) for k in held])
+    told = pd.concat([suffix_dedup._shared(x) for _, x in sent.groupby("bucket")])
+    found = pd.concat([suffix_dedup._segments("", 50, 2)((k,), x) for (k,), x in told.groupby(["block"])])
+    parts = found[found["kind"] == "segments"]
+    parts = parts.assign(data=parts["data"].map(suffix_dedup.squeezed))
+    answers = pd.concat([suffix_dedup._sorted(50)(x) for _, x in parts.groupby("bucket")])
+    gone = {}
+    for k, own in answers.groupby("block"):
+        seg, first, count, low = (np.concatenate([suffix_dedup._unpacked(x, kind) for x in own[c]]) for c, kind in zip("abcd", ("<i4", "<i8", "<i8", "<i8")))
+        row = found[(found["kind"] == "places") & (found["block"] == k)].iloc[0]
+        at_doc, at_start, at_seg = (np.frombuffer(row[c], kind) for c, kind in zip("abc", ("<i4", "<i8", "<i4")))
+        for d, s, g in zip(at_doc.tolist(), at_start.tolist(), at_seg.tolist()):
+            doc_id = docs[k::2][d][0]
+            for i in np.nonzero((seg == g) & (low < (doc_id if doc_id is not None else -1)))[0].tolist():
+                gone.setdefault((k, d), set()).update(range(s + int(first[i]), s + int(first[i] + count[i]) + 49))
+    want = {(str(i), n, removed) for i, n, removed, _, _ in removed_by_force(docs)}
+    got = {(str(docs[k::2][d][0]), len(held[k][d]), len(gone.get((k, d), ()))) for k in held for d in range(len(held[k]))}
+    assert got == want
+
+
 def test_segment_classes():
     rng = random.Random(8)
     segs = [bytes([rng.choice(b"ab")]) * n for n in [rng.randrange(50, 260) for _ in range(300)]] * 2
