@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from digestlake.llm.common import prepared, quoted, released, slices, written
-from digestlake.llm.token_counts import vocabulary
+from digestlake.llm.token_counts import forget_tokenizers, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the model is fitted on, at most.
@@ -35,9 +36,11 @@ TRAIN_DOCS = 1500
 #: Bytes of the table of piece probabilities, at most; about a thousand languages.
 MODEL_BYTES = 256 << 20
 #: Bytes that the words a worker remembers take; beyond that it forgets and starts anew.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 32 << 20
 #: Bytes of the numbers that one pass over words holds.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
+#: Bytes of text whose words a worker holds at once, as strings of several times that size.
+TEXT_BYTES = 512 << 10
 #: Characters above which a word is passed in blocks.
 LONG_WORD = 256
 #: Rounds of fitting to expected counts.
@@ -312,18 +315,20 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, text_col: st
     sample = labelled.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "__id long")), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         words: dict[str, Counter] = {}
         docs_of: Counter = Counter()
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), TEXT_BYTES):
                 for lang, text in zip(b.column(0).slice(at, n).to_pylist(), b.column(1).slice(at, n).to_pylist()):
                     # only for training, long words are cut
                     words.setdefault(lang, Counter()).update(w[k : k + 64] for w in words_of(text) for k in range(0, len(w), 64))
                     docs_of[lang] += 1
-        rows = [(lang, None, n) for lang, n in docs_of.items()] + [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-        for k in range(0, len(rows), 50_000):
-            some = rows[k : k + 50_000]
+        rows = chain(((lang, None, n) for lang, n in docs_of.items()), ((lang, w, n) for lang, c in words.items() for w, n in c.items()))
+        while some := list(islice(rows, 20_000)):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.string()), pa.array([r[2] for r in some], pa.int64())], ["lang", "word", "n"])
+        del words, rows, some
+        released()
 
     words = written(sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     n_docs = {r.lang: r.n for r in words.where("word is null").collect()}
@@ -341,6 +346,7 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, text_col: st
 
     def counted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
         """Counts of pieces: those of one segmentation, or with a model the expected ones."""
+        forget_tokenizers()
         out = np.zeros((len(usable), len(languages)))
         if model is None:
             own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -360,6 +366,8 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, text_col: st
                 np.add.at(weights, (rows, column), n)
                 out += model.expected(list(at), weights)
         yield rows_of(out)
+        del out
+        released()
 
     model = None
     for _ in range(1 + rounds):
@@ -379,8 +387,9 @@ def _scorer(model: Model):
     sent = spark.sparkContext.broadcast(model)
 
     def scores(column: pa.Array) -> list[tuple[str, float]]:
+        forget_tokenizers()
         m = sent.value
-        return [x for at, n in slices(column) for x in m.text_scores(column.slice(at, n).to_pylist())]
+        return [x for at, n in slices(column, TEXT_BYTES) for x in m.text_scores(column.slice(at, n).to_pylist())]
 
     def end() -> None:
         sent.value._forget()

@@ -53,6 +53,11 @@ def tokenizer(path: str):
     return _MEMO[path]
 
 
+def forget_tokenizers() -> None:
+    """Drop the tokenizer that an earlier stage left in a Python worker, with the tokens it remembers."""
+    _MEMO.clear()
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 

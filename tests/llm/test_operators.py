@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from digestlake.llm import decontamination, exact_dedup, language_id, packing, pii, sharding, simhash, suffix_dedup, token_counts, warc
@@ -454,6 +455,23 @@ def test_query_scores_by_force(spark, sf_dir, docs):
         assert out.score == pytest.approx(1 / np.exp(total - total.max()).sum())
 
 
+def test_words_of_a_batch_are_held_in_parts(monkeypatch):
+    """A worker holds the words of TEXT_BYTES at once, and no tokenizer of another stage beside the model."""
+    model = language_id.Model(["a", "b"], ["x"], np.full((1, 2), 0.5), np.full(2, 0.1), np.full(2, 0.5))
+    sent = type("Sent", (), {"value": model})
+    context = type("Context", (), {"broadcast": lambda self, x: sent})()
+    monkeypatch.setattr(language_id, "SparkSession", type("S", (), {"getActiveSession": staticmethod(lambda: type("A", (), {"sparkContext": context})())}))
+    sizes: list[int] = []
+    scored = language_id.Model.text_scores
+    monkeypatch.setattr(language_id.Model, "text_scores", lambda self, texts: sizes.append(sum(map(len, texts))) or scored(self, texts))
+    monkeypatch.setitem(token_counts._MEMO, "left", object())
+    scores, end = language_id._scorer(model)
+    texts = ["x y " * 25_000] * 30
+    assert scores(pa.array(texts)) == scored(model, texts)
+    assert sum(sizes) == 3_000_000 and max(sizes) <= 1 << 19 and not token_counts._MEMO
+    end()
+
+
 def test_many_languages_are_all_learned(spark):
     rows = [(i, f"wort{i % 260} " * 3, f"l{i % 260}") for i in range(1040)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), token_counts.vocabulary(language_id.VOCABULARY), rounds=0)
