@@ -40,6 +40,8 @@ SHALLOW = 16
 _SMALL = 512
 #: Suffixes whose bytes are gathered at once.
 _CHUNK = 1 << 16
+#: Windows or segments that a bucket sorts at once; each takes some 130 bytes meanwhile.
+SORTED = 1 << 19
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
 
 
@@ -265,6 +267,63 @@ def segment_classes(data: bytes, start: np.ndarray, size: np.ndarray, length: in
     return np.unique(code, return_inverse=True)[1]
 
 
+def grouped(weight: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of whole groups (numbers from 0) of about SORTED in weight; only a group that weighs more exceeds it."""
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group))  # of each group in order
+    held = np.concatenate([[0], np.cumsum(weight[order])])
+    at = 0
+    while at < len(order):
+        last = int(np.searchsorted(held, held[at] + SORTED, side="right")) - 1
+        g = int(np.searchsorted(ends, last, side="right"))
+        end = int(ends[g - 1]) if g else 0
+        end = end if end > at else int(ends[np.searchsorted(ends, at, side="right")])
+        yield order[at:end]
+        at = end
+
+
+def window_lows(data: bytes, at: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """For each window data[at : at + length] the smallest low of the windows that equal it.
+
+    At most SORTED windows are sorted at once: more are dealt by a hash of their bytes, and what is still more is
+    sorted in parts, of which one window for each distinct string is sorted again.
+    """
+    out = np.empty(len(at), dtype=np.int64)
+    deals = max(1, -(-len(at) // SORTED))
+    to = np.zeros(len(at), dtype=np.uint32)
+    if deals > 1:
+        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), length)
+        for k in range(0, len(at), _CHUNK):
+            some = np.zeros((min(_CHUNK, len(at) - k), -(-length // 8) * 8), dtype=np.uint8)
+            some[:, :length] = view[at[k : k + _CHUNK]]
+            h = np.zeros(len(some), dtype=np.uint64)
+            for char in some.view("<u8").T:
+                h = (h ^ char) * _P[1]
+                h ^= h >> np.uint64(29)
+            to[k : k + _CHUNK] = h % np.uint64(deals)
+    for deal in range(deals):
+        own = np.nonzero(to == deal)[0]
+        parts, firsts, lows = [], [], []
+        for k in range(0, len(own), SORTED):
+            some = own[k : k + SORTED]
+            rank = suffix_classes(data, at[some], length)
+            least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, rank, low[some])
+            first = np.empty(len(least), dtype=np.int64)
+            first[rank] = some
+            parts.append((some, rank.astype(np.int32)))
+            firsts.append(first)
+            lows.append(least)
+        if len(parts) > 1:
+            rank = suffix_classes(data, at[np.concatenate(firsts)], length)
+            least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, rank, np.concatenate(lows))
+            lows = np.split(least[rank], np.cumsum([len(x) for x in firsts])[:-1])
+        for (some, rank), least in zip(parts, lows):
+            out[some] = least[rank]
+    return out
+
+
 # ---- steps over blocks ---------------------------------------------------------------------------------------------
 
 
@@ -450,7 +509,10 @@ def _sorted(length: int):
         size = np.concatenate([_unpacked(d, "<i4") for d in pdf["d"]]).astype(np.int64)
         data = b"".join(unsqueezed(x) for x in pdf["data"])
         start = np.cumsum(size) - size
-        mine = segment_classes(data, start, size, length)
+        mine, told = np.empty(len(size), dtype=np.int64), 0
+        for some in grouped(-(-size // length), np.unique(h, return_inverse=True)[1]):
+            mine[some] = told + segment_classes(data, start[some], size[some], length)
+            told = int(mine[some].max()) + 1
         # each distinct segment: one place where it is, its hash, and the smallest doc_id that has it
         _, at = np.unique(mine, return_index=True)
         low = np.full(len(at), np.iinfo(np.int64).max)
@@ -462,13 +524,10 @@ def _sorted(length: int):
         run_seg = [np.nonzero(count[inverse] == 1)[0]]
         run_first = [np.zeros(len(run_seg[0]), dtype=np.int64)]
         run_count, run_low = [windows[run_seg[0]]], [low[run_seg[0]]]
-        if len(several):
-            n = windows[several]
+        for some in grouped(windows[several], np.unique(inverse[several], return_inverse=True)[1]) if len(several) else ():
+            own, n = several[some], windows[several[some]]
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            rank = suffix_classes(data, np.repeat(start[at[several]], n) + nth, length)
-            smallest = np.full(rank.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, rank, np.repeat(low[several], n))
-            value, seg = smallest[rank], np.repeat(several, n)
+            value, seg = window_lows(data, np.repeat(start[at[own]], n) + nth, np.repeat(low[own], n), length), np.repeat(own, n)
             first = np.nonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (seg[1:] != seg[:-1])]))[0]
             run_seg.append(seg[first])
             run_first.append(nth[first])
@@ -559,13 +618,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", bl
     if length < GRAM + SHALLOW:
         raise ValueError(f"length must be at least {GRAM + SHALLOW}")
     spark = prepared(docs)
-    buckets = partitions(spark)
-    # a block or bucket is few rows and much work: a count that is asked for is not merged into fewer tasks
-    tasks = 2 * buckets
     where, places = scratch(spark, "suffix-blocks"), scratch(spark, "suffix-segments")
     stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("text"))
     stored.mapInArrow(_store(block_bytes), "block long, doc_id long, text binary").write.option("compression", "zstd").partitionBy("block").parquet(where)
     ids = spark.read.schema("doc_id long, text binary, block long").parquet(where).select("block").distinct()
+    # a bucket for each block of text at least, so that it holds no more where partitions do not grow with the input
+    buckets = max(partitions(spark), ids.count())
+    # a block or bucket is few rows and much work: a count that is asked for is not merged into fewer tasks
+    tasks = 2 * buckets
     hashes = ids.repartition(tasks, "block").groupBy("block").applyInPandas(_hashes(where, length, buckets), "bucket int, block long, hashes binary")
     shared = hashes.repartitionById(buckets, F.col("bucket")).mapInPandas(_by_bucket(_shared), "block long, bucket int, hashes binary")
     schema = "kind string, block long, bucket int, a binary, b binary, c binary, d binary, data binary"

@@ -4,11 +4,13 @@ import shutil
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from digestlake.functions import proofs
+from digestlake.llm import suffix_dedup
 from digestlake.operators import graph
 from digestlake.operators.keys import packed, unpacked
 from digestlake.plans.derive import Repo
@@ -68,6 +70,39 @@ def test_packed_ids(spark, kind, values):
     assert back == [bytearray(v) if isinstance(v, bytes) else v for v in values]
 
 
+def test_op9_sorts_bounded_parts(monkeypatch):
+    """A hash that very many segments share is sorted in parts, with the answers of one sort."""
+    rng = np.random.default_rng(5)
+    data = rng.choice(list(b"ab"), 400).tobytes() * 4 + b"x" * 300 + rng.integers(0, 256, 900, dtype="uint8").tobytes()
+    at = rng.permutation(len(data) - 50)[:2000]
+    low = rng.integers(0, 99, len(at))
+    want = {}
+    for p, v in zip(at.tolist(), low.tolist()):
+        want[data[p : p + 50]] = min(v, want.get(data[p : p + 50], 99))
+    most, whole = [], suffix_dedup.suffix_classes
+    monkeypatch.setattr(suffix_dedup, "SORTED", 64)
+    monkeypatch.setattr(suffix_dedup, "suffix_classes", lambda d, a, n: most.append(len(a)) or whole(d, a, n))
+    assert suffix_dedup.window_lows(data, at, low, 50).tolist() == [want[data[p : p + 50]] for p in at.tolist()]
+    assert max(most) <= 4 * 64 and sum(most) >= len(at)
+    group = rng.integers(0, 40, 500)
+    parts = list(suffix_dedup.grouped(np.ones(500, dtype=np.int64), np.unique(group, return_inverse=True)[1]))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(500)) and len(parts) > 5
+    assert all(len(x) <= 64 for x in parts) and sum(len(set(group[x])) for x in parts) == len(set(group))
+
+
+def test_op9_whole_with_small_parts(monkeypatch):
+    docs = [(i, f"{i} " * 9 + "the very same sentence, which is long enough to be found again " * (1 + i % 3) + f" {i * i}" * 30) for i in range(40)]
+    held = {}
+    for k in (1 << 19, 30):
+        monkeypatch.setattr(suffix_dedup, "SORTED", k)
+        monkeypatch.setattr(suffix_dedup, "_read", lambda where, block: ([i for i, _ in docs], [t.encode() for _, t in docs]))
+        told = suffix_dedup._shared(suffix_dedup._hashes("", 50, 1)((7,), None))
+        found = suffix_dedup._segments("", 50, 1)((7,), told)
+        found = found[found["kind"] == "segments"].assign(data=found["data"].dropna().map(suffix_dedup.squeezed))
+        held[k] = suffix_dedup._sorted(50)(found)
+    assert held[30].equals(held[1 << 19])
+
+
 def test_proofs_hash_bounded_parts(monkeypatch):
     monkeypatch.setattr(proofs, "PART", 100)
     rows = pd.DataFrame({"k": range(9), "bytes": [bytes(n) for n in (0, 0, 40, 60, 1, 500, 99, 2, 3)]})
